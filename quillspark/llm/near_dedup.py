@@ -159,3 +159,8 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
+
+
+def without_repeated_rows(docs: DataFrame) -> DataFrame:
+    """One of each set of rows with equal doc_id and text."""
+    return docs.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
