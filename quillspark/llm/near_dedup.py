@@ -8,7 +8,9 @@ least hashes. Documents with equal sets form a class and go on as one.
   its K - SHARED + 1 rarest values: passages that many documents share open no long lists.
 * First every class meets one hub: the class of its lists with the most common values. What is linked joins
   one component. Then only pairs of different components are made, from the smaller components of a list to
-  all others, so a large group of copies costs its size, not its square.
+  the others, and only where they can be similar: their rarest shingles must meet, and early enough in both
+  sets to leave room for the intersection. First each meets a few others of its lists, which joins most that
+  can be joined; then it meets all that are still apart. So a large group of copies costs about its size.
 * The sketch of the union estimates the similarity and filters, with the same bound.
 * The full sets confirm: links have exact intersection and union sizes.
 
@@ -34,6 +36,8 @@ from .components import components
 K, SHARED = 32, 10
 #: Links have at least this many hundredths of the union in common.
 PERCENT = 80
+#: Others in a list that a class meets, round by round, before it meets all that are still in other components.
+MATES = (8, 32)
 
 
 def shingle_sets(block: Block, size: int) -> Iterator[np.ndarray]:
@@ -107,6 +111,35 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
     return full.where(inter * 100 >= (F.col("na") + F.col("nb") - inter) * PERCENT).select("a", "b")
 
 
+def _pairs(rare: DataFrame, mates: int | None) -> DataFrame:
+    """Pairs ``a, b`` of classes in different parts that may be similar, each once.
+
+    All members of a list but those of its commonest part meet all others; with mates, only the about ``mates``
+    others that a hash deals to the same bucket of the list, so the work is linear in the list.
+    """
+    sizes = rare.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    main = sizes.groupBy("shingle").agg(F.max(F.struct("c", "part")).alias("main"), F.min("n").alias("least"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("size")).where("parts > 1").select("shingle", F.col("main.part").alias("main"), "least", "size")
+    bucket = F.lit(0).cast("long") if mates is None else F.pmod(F.xxhash64("class", "shingle", F.lit(mates)), F.ceil(F.col("size") / mates))
+    both = rare.join(main, "shingle").withColumn("bucket", bucket)
+    left = both.where("part <> main and most >= least").select("shingle", "bucket", F.col("class").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("most").alias("ma"))
+    right = both.select("shingle", "bucket", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("most").alias("mb"), (F.col("part") == F.col("main")).alias("is_main"))
+    met = left.join(right, ["shingle", "bucket"]).where((F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")) & (F.col("pa") != F.col("pb")) & (F.col("is_main") | (F.col("a") > F.col("b"))) & _near_sizes("na", "nb"))
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _prefixes(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """``shingle, class, n, place``: for each class of the open lists its rarest shingles, so many that
+    sets without one in common cannot be similar; place counts all rarer shingles of the set, shared or not.
+    """
+    own = open_.select("class", "n").distinct().join(sets, "class").select("class", "n", F.explode("values").alias("shingle"))
+    shared = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    mine = own.join(shared, "shingle").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("x"))
+    mine = mine.withColumn("lone", F.col("n") - F.size("x"))
+    take = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("lone")).cast("int")
+    mine = mine.withColumn("take", take).where("take > 0")
+    return mine.select("class", "n", "lone", F.posexplode(F.slice("x", F.lit(1), F.col("take"))).alias("i", "e")).select("e.shingle", "class", "n", (F.col("lone") + F.col("i")).alias("place"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of docs (doc_id, text).
 
@@ -142,15 +175,16 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     label = components(links)
     placed = entries.join(label, entries["class"] == label["node"], "left").select("v", "class", "n", F.coalesce("component", "class").alias("part"))
     placed = materialize(placed)
-    main = placed.groupBy("v", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(F.max(F.struct("c", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("v", F.col("main.part").alias("main"))
-    open_ = materialize(placed.join(main, "v"))
-    left = open_.where("part <> main").select("v", F.col("class").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    right = open_.select("v", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), (F.col("part") == F.col("main")).alias("is_main"))
-    rest = left.join(right, "v").where((F.col("pa") != F.col("pb")) & (F.col("is_main") | (F.col("a") > F.col("b"))) & _near_sizes("na", "nb"))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_confirmed(rest, classes, sets))
-
-    label = components(links)
+    several = placed.groupBy("v").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("v")
+    # an intersection has at most the shingles from the first common one on: with m, similarity needs (n + m) * 80 / 180 of them
+    most = F.floor((F.col("n") - F.col("place")) * (100 + PERCENT) / PERCENT) - F.col("n")
+    rare = materialize(_prefixes(placed.join(several, "v"), sets).withColumn("most", most).where(F.col("most") * 100 >= F.col("n") * PERCENT))
+    for mates in (*MATES, None):
+        rest = _pairs(rare.join(label, rare["class"] == label["node"], "left").withColumn("part", F.coalesce("component", "class")), mates)
+        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
+        links = materialize(links.unionByName(_confirmed(rest, classes, sets)))
+        tried = tried.unionByName(rest)
+        label = components(links)
     known = classes.select("class", "least").join(label, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component"))
     known = materialize(known)
     ids = known.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -160,7 +194,6 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-
 def without_repeated_rows(docs: DataFrame) -> DataFrame:
     """One of each set of rows with equal doc_id and text."""
     return docs.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
