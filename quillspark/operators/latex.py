@@ -159,7 +159,7 @@ def nodes(papers: DataFrame, images: DataFrame | None = None, counter: TokenCoun
 
     images: ``paper_id, node_order, image_paths`` (see ``sources.latex.resolve_images``).
     """
-    out = tree.paths(tree.parents(flat_nodes(papers)))
+    out = tree.parents(flat_nodes(papers))
     if images is not None:
         out = out.join(images, ["paper_id", "node_order"], "left")
     else:

@@ -1,7 +1,7 @@
 """Ordered trees as tables: one row a node, ``node_order`` its place in preorder, ``path`` the orders from the root to itself.
 
 Everything is by paper, so all shuffles hash ``paper_id``, and a paper is as large as a document. Ancestors come
-from exploding ``path`` (an equi-join); descendants are ``node_order BETWEEN node_order AND subtree_end``.
+from exploding ``path``; descendants are ``node_order BETWEEN node_order AND subtree_end``.
 """
 
 from __future__ import annotations
@@ -19,31 +19,25 @@ BLOCKS = ["equation", "equation*", "align", "align*", "gather", "gather*", "mult
 
 
 def parents(rows: DataFrame, key: str = "paper_id", order: str = "node_order", rank: str = "rank") -> DataFrame:
-    """Adds ``parent_order``: the nearest row before with a lower rank, else the first row of the paper.
+    """Adds ``parent_order``, ``path`` and ``depth`` in one window pass, without a stack and without joins.
 
-    rank: null for leaves, whose parent is the nearest section before. One window pass instead of a stack: the
-    last row of each rank so far, of which the latest below the own rank counts.
+    rank: null for leaves and for the first row of a paper, its root. The last row of each rank so far is open
+    if no row of a lower rank came after it; the open ones below the own rank are the ancestors, and the parent
+    of a row is the nearest of them, else the root.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     ranks = sorted(set(SECTION_RANKS.values()))
-    last = {k: F.last(F.when(F.col(rank) == k, F.col(order)), ignorenulls=True).over(w) for k in ranks}
-    nearest = F.greatest(*(F.when(F.col(rank).isNull() | (F.col(rank) > k), last[k]) for k in ranks))
-    # a lower rank closes what stands above it: only sections after the last lower-ranked one are open, and the latest is
-    root = F.first(order).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("parent_order", F.when(F.col(order) == root, F.lit(None)).otherwise(F.coalesce(nearest, root)).cast("int"))
-
-
-def paths(nodes: DataFrame, depth: int = 7) -> DataFrame:
-    """Adds ``path`` and ``depth`` (0 for the root) from parents; a paper has at most ``depth`` levels.
-
-    Parent links are joined level by level: ``depth`` is a fixed bound of the format (root, five ranks, leaf).
-    """
-    up = nodes.select("paper_id", F.col("node_order").alias("_at"), F.col("parent_order").alias("_up"))
-    out = nodes.withColumns({"path": F.array("node_order"), "_at": F.col("parent_order")})
-    for _ in range(depth - 1):
-        out = out.join(up, ["paper_id", "_at"], "left").withColumn("path", F.when(F.col("_at").isNotNull(), F.concat(F.array("_at"), "path")).otherwise(F.col("path")))
-        out = out.withColumn("_at", F.col("_up")).drop("_up")
-    return out.drop("_at").withColumn("depth", F.size("path") - 1)
+    last = {k: f"_last{k}" for k in ranks}
+    out = rows.withColumns({last[k]: F.last(F.when(F.col(rank) == k, F.col(order)), ignorenulls=True).over(before) for k in ranks} | {"_root": F.first(order).over(before)})
+    above = F.array(F.col("_root"))
+    for i, k in enumerate(ranks):
+        closing = [F.col(last[j]) for j in ranks[:i]]
+        after = F.lit(True) if not closing else F.col(last[k]) > F.coalesce(F.greatest(*closing, F.lit(-1)) if len(closing) > 1 else closing[0], F.lit(-1))
+        is_open = F.col(last[k]).isNotNull() & after & (F.col(rank).isNull() | (F.col(rank) > k))
+        above = F.concat(above, F.when(is_open, F.array(F.col(last[k]))).otherwise(F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>")))
+    path = F.when(F.col("_root").isNull(), F.array(order)).otherwise(F.concat(above, F.array(order)))
+    out = out.withColumn("path", path).withColumn("depth", F.size("path") - 1).withColumn("parent_order", F.when(F.col("depth") > 0, F.element_at("path", -2)).cast("int"))
+    return out.drop("_root", *last.values())
 
 
 def ancestors(nodes: DataFrame, *columns: str) -> DataFrame:
@@ -56,12 +50,17 @@ def subtree_ends(nodes: DataFrame) -> DataFrame:
     return nodes.join(ends, ["paper_id", "node_order"])
 
 
+def in_paper(condition: Column) -> Column:
+    """Orders of the paper's rows that meet the condition; a paper is as large as a document."""
+    return F.collect_set(F.when(condition, F.col("node_order"))).over(Window.partitionBy("paper_id"))
+
+
 def with_excluded_depth(nodes: DataFrame) -> DataFrame:
     """Adds ``last_excluded``: depth of the deepest excluded node on the path, -1 without, and ``first_excluded``."""
-    nodes = nodes.drop("last_excluded", "first_excluded")
-    out = nodes.where("include_status = 'exclude'").select("paper_id", F.col("node_order").alias("anc_order"))
-    found = ancestors(nodes).join(out, ["paper_id", "anc_order"]).groupBy("paper_id", "node_order").agg(F.max("anc_depth").alias("last_excluded"), F.min("anc_depth").alias("first_excluded"))
-    return nodes.join(found, ["paper_id", "node_order"], "left").fillna(-1, ["last_excluded", "first_excluded"])
+    out = nodes.withColumn("_x", in_paper(F.col("include_status") == "exclude"))
+    hit = F.filter(F.transform("path", lambda o, i: F.when(F.array_contains("_x", o), i)), lambda i: i.isNotNull())
+    out = out.withColumn("_x", hit)
+    return out.withColumns({"last_excluded": F.coalesce(F.array_max("_x"), F.lit(-1)), "first_excluded": F.coalesce(F.array_min("_x"), F.lit(-1))}).drop("_x")
 
 
 def totals(nodes: DataFrame) -> DataFrame:
@@ -137,11 +136,10 @@ def labelled(nodes: DataFrame) -> DataFrame:
 
 def selected_leaves(nodes: DataFrame, units: DataFrame) -> DataFrame:
     """``paper_id, unit_order`` and the columns of each included leaf of the unit's subtree."""
-    flagged = with_excluded_depth(nodes.where("is_leaf or include_status = 'exclude'")).where("is_leaf")
+    flagged = with_excluded_depth(nodes).where("is_leaf")
     # a unit is an ancestor-or-self of its leaves: an equi-join on the path instead of a range join
-    pairs = ancestors(flagged).join(units.select("paper_id", F.col("node_order").alias("anc_order")), ["paper_id", "anc_order"])
-    pairs = pairs.select("paper_id", "node_order", F.col("anc_order").alias("unit_order"), F.col("anc_depth").alias("_unit_depth"))
-    return flagged.join(pairs, ["paper_id", "node_order"]).where("last_excluded < _unit_depth").drop("_unit_depth", "last_excluded", "first_excluded")
+    pairs = flagged.select("*", F.posexplode("path").alias("_unit_depth", "unit_order")).where("last_excluded < _unit_depth")
+    return pairs.join(units.select("paper_id", F.col("node_order").alias("unit_order")), ["paper_id", "unit_order"]).drop("_unit_depth", "last_excluded", "first_excluded")
 
 
 def chunk_texts(nodes: DataFrame, units: DataFrame) -> DataFrame:

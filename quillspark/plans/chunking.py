@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.budget import TokenBudget, default_level, level_of
-from ..operators.tree import ancestors
+from ..operators.tree import in_paper
 
 
 def checked_limit(budget: TokenBudget) -> int:
@@ -39,9 +39,8 @@ def decisions(nodes: DataFrame, limit: int, target: str = "subsection") -> DataF
 
 def _reached(decided: DataFrame) -> DataFrame:
     """Nodes whose proper ancestors all delegate."""
-    blocking = decided.where("decision <> 'delegate'").select("paper_id", F.col("node_order").alias("anc_order"))
-    blocked = ancestors(decided).where("anc_order <> node_order").join(blocking, ["paper_id", "anc_order"]).select("paper_id", "node_order").distinct()
-    return decided.join(blocked, ["paper_id", "node_order"], "left_anti")
+    out = decided.withColumn("_b", in_paper((F.col("decision") != "delegate") & ~F.col("is_leaf")))
+    return out.where(~F.arrays_overlap(F.slice("path", F.lit(1), F.col("depth")), "_b")).drop("_b")
 
 
 def units(decided: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def paper_tree(spark: SparkSession, d: str, edits: bool = False) -> DataFrame:
     leaf = docs.select("paper_id", "lang", "bucket", "doc_id", F.lit("paragraph"), F.lit(None).cast("int"), F.lit("paragraph"), "text", F.lit(True))
     rows = root.union(section).union(sub).union(leaf)
     rows = rows.withColumn("node_order", (F.row_number().over(Window.partitionBy("paper_id").orderBy("lang", "bucket", "doc_id")) - 1).cast("int"))
-    rows = tree.paths(tree.parents(rows), depth=4)
+    rows = tree.parents(rows)
     status, mode = F.lit("include"), F.lit("auto")
     if edits:
         toxic = _table(spark, d, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("toxic")).distinct()
