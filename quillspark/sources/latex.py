@@ -59,7 +59,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def texts(files: DataFrame) -> DataFrame:
     """``.tex`` files with their content as text; bytes that are no UTF-8 are replaced."""
-    return files.where(F.lower("path").endswith(".tex")).select("paper_id", "path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return files.where(F.lower("path").endswith(".tex")).select("paper_id", "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def main_files(files: DataFrame) -> DataFrame:

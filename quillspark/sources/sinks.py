@@ -20,8 +20,8 @@ def final_product(results: DataFrame) -> DataFrame:
 
 
 def write_texts(texts: DataFrame, path: str, mode: str = "append") -> None:
-    """A folder a paper, one text file each (rows keep their line ends)."""
-    texts.select("paper_id", F.col("text").alias("value")).write.mode(mode).option("lineSep", "").partitionBy("paper_id").text(path)
+    """A folder a paper, one text file each. The line end that closes every text is the writer's."""
+    texts.select("paper_id", F.regexp_replace("text", r"\n\z", "").alias("value")).write.mode(mode).partitionBy("paper_id").text(path)
 
 
 def append_events(events: DataFrame, path: str) -> None:

@@ -35,4 +35,4 @@ def windowed_counts(events: DataFrame, time: str = "ts", length: str = "1 day",
 def arriving_papers(spark: SparkSession, folder: str) -> DataFrame:
     """``paper_id, main_file, text`` of single-file papers as they arrive."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.tex").load(folder)
-    return raw.select(F.col("path").alias("paper_id"), F.element_at(F.split("path", "/"), -1).alias("main_file"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.select(F.col("path").alias("paper_id"), F.element_at(F.split("path", "/"), -1).alias("main_file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
