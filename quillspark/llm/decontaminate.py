@@ -156,8 +156,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without any hit, unchanged."""
     names = docs.columns
-    plain = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(names) if c != "text"})
-    return scanned(plain, benchmark, window).where(F.size("_spans") == 0).drop("_spans", "_items").withColumnsRenamed({f"c{i}": c for i, c in enumerate(names) if c != "text"})
+    plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(names)))
+    return scanned(plain, benchmark, window).where(F.size("_spans") == 0).drop("_spans", "_items").toDF(*names)
 
 
 __all__ = ["automaton", "clean_documents", "hits", "normalised", "report", "scanned"]

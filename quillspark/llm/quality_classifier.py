@@ -143,8 +143,8 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, unchanged."""
     names = docs.columns
-    plain = docs.withColumnsRenamed({c: f"c{i}" for i, c in enumerate(names) if c != "text"})
-    return scored(plain, train(docs, labels)).where(F.col("_score") >= THRESHOLD).drop("_score").withColumnsRenamed({f"c{i}": c for i, c in enumerate(names) if c != "text"})
+    plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(names)))
+    return scored(plain, train(docs, labels)).where(F.col("_score") >= THRESHOLD).drop("_score").toDF(*names)
 
 
 __all__ = ["THRESHOLD", "TEXT_FEATURES", "Model", "fit", "good_documents", "held_out", "quality", "scored", "train"]
