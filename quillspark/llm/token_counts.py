@@ -6,7 +6,8 @@ own counts are kept by word; truncation and budget questions are then look-ups,
 
 Counts are the tokenizers library's own: it encodes each different word once for as long as the worker's
 table holds it (``TABLE`` words, then the table starts anew). Words are white-space runs; a tail of plain
-punctuation is counted apart, as the library's pattern splits there too.
+punctuation is counted apart only where the library itself splits before it, that is after a character that
+normalizes to an end in a letter or number. After any other one the word is encoded whole.
 
 Defined results: a null text is empty; empty texts have 0 tokens; repeated rows count each; an empty table
 gives an empty result; other columns are ignored.
@@ -42,6 +43,21 @@ class Counter:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, int] = {}
+        self.ends: dict[str, bool] = {}
+
+    def _pieces(self, text: str) -> int:
+        t = self.tokenizer
+        return len(t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text)))
+
+    def _head(self, word: str) -> str:
+        """The word without its tail, if the library splits there, else the whole word."""
+        head = word.rstrip(_TAIL)
+        if not head or len(head) == len(word):
+            return head
+        c = head[-1]
+        if c not in self.ends:
+            self.ends[c] = self._pieces(c + ".") > self._pieces(c)
+        return head if self.ends[c] else word
 
     def _encode(self, words: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -55,7 +71,7 @@ class Counter:
         if len(known) + len(new) > TABLE:
             known.clear()
             new = list(words)
-        heads = [w.rstrip(_TAIL) for w in new]
+        heads = [self._head(w) for w in new]
         parts = {h for h in heads if h} | {w[len(h) :] for w, h in zip(new, heads, strict=True) if len(h) < len(w)}
         missing = [p for p in parts if p not in known]
         known.update(zip(missing, self._encode(missing), strict=True))

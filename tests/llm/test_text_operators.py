@@ -209,6 +209,22 @@ def test_tokens(spark, docs_of, sf_dir, odd):
     assert token_counts(odd, path).count() == odd.count()
 
 
+def test_tokens_of_mixed_punctuation():
+    P = pytest.importorskip("public_tokenizers")
+    from quillspark.llm.token_counts import Counter
+
+    c = Counter(P.path("word_bpe_49k.json"))
+    whole = lambda t: len(c.tokenizer.encode(t, add_special_tokens=False).ids)
+    texts = ["ok'.", "a-.", "|#", "->.", "İ.", "\u0958.", "x\u0301.", "e\u0301.", "½.", "<|endoftext|>.", "He said 'ok'. The dogs', he wrote, are 'here'!", "| a_. | <b>; |--:| x->y(); _z_, | ** |"]
+    rng = random.Random(3)
+    texts += ["".join(rng.choice("aZé7½İ一'-<>|_.,;:!?*#$()[]{}\"/\\~^=+@`\u0301\u0958 ") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    for t, counts in zip(texts, c.counts(texts), strict=True):
+        n = whole(t)
+        assert sum(counts) == n, t
+        for limit in range(n + 2):
+            assert c.longest(t, counts, limit) == max(k for k in range(len(t) + 1) if whole(t[:k]) <= limit), t
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, 3, None, "x"), (2, 0, "system", "alone"), (None, 0, "ann", "n"), (3, 0, "ann", "y"), (3, 0, "ann", "y")]
     talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
