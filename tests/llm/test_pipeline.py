@@ -1,6 +1,7 @@
 """Operator 3 and the stages of the pipeline against brute force; queries with SQL."""
 
 import random
+from fractions import Fraction
 from pathlib import Path
 
 import duckdb
@@ -47,6 +48,52 @@ def test_mixed(spark, docs_of, odd):
     assert mixing.mixed(odd).columns[: len(odd.columns)] == odd.columns
 
 
+def deviation(order, blocks, weights):
+    """The most blocks that a source is off its exact share, over all slots; order: the source of each slot."""
+    total = {s: Fraction(weights[s]) for s in blocks}
+    ideal, ran, worst = dict.fromkeys(blocks, Fraction(0)), dict.fromkeys(blocks, 0), 0
+    for s in order:
+        left = Fraction(1)
+        while left:
+            live = [x for x in blocks if ideal[x] < blocks[x]]
+            rate = sum(total[x] for x in live)
+            step = min(left, *((blocks[x] - ideal[x]) * rate / total[x] for x in live))
+            for x in live:
+                ideal[x] += step * total[x] / rate
+            left -= step
+        ran[s] += 1
+        worst = max(worst, *(abs(ran[x] - ideal[x]) for x in blocks))
+    return worst
+
+
+def test_exact_weights():
+    rng = random.Random(2)
+    for _ in range(20):
+        blocks = {f"s{i}": rng.randint(1, 40) for i in range(rng.randint(1, 9))}
+        weights = {s: rng.choice([rng.random() + 1e-3, 1, 0.25]) for s in blocks}
+        got = list(mixing.exact_slots(blocks, weights))
+        assert [t for _, _, t, _ in got] == list(range(sum(blocks.values())))
+        assert all([i for x, i, _, _ in got if x == s] == list(range(b)) for s, b in blocks.items())
+        assert deviation([s for s, *_ in got], blocks, weights) < 1
+        assert [p for *_, p in got] == sorted(p for *_, p in got)
+
+
+def test_deviation_does_not_grow(spark):
+    # weights far from n/1024, one of them under 1/1024, and one block a row
+    weights = {"big": (1 / 3) ** 0.5, "tiny": 0.0005, **{f"s{i}": (2 / 57) ** 0.5 for i in range(19)}}
+    n = {"big": 4000, "tiny": 20, **{f"s{i}": 1300 for i in range(19)}}
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(s for s in n for _ in range(n[s]))], "doc_id long, source string")
+    rows = sorted(mixing.places(docs, weights=weights, block=1).select("mix_slot", "mix_phase", "source").collect())
+    assert [r.mix_slot for r in rows] == list(range(sum(n.values())))
+    ran, total = dict.fromkeys(n, 0), sum(weights.values())
+    for t, r in enumerate(rows):
+        if r.mix_phase or t + 1 >= len(rows):
+            break
+        ran[r.source] += 1
+        assert all(abs(c - (t + 1) * weights[s] / total) < 1.000001 for s, c in ran.items())
+    assert t > 15_000
+
+
 def test_many_sources(docs_of, monkeypatch):
     monkeypatch.setattr(mixing, "GROUPS", 3)
     sources = [f"s{i % 11}" for i in range(200)]
