@@ -6,9 +6,9 @@ begins and due by the end of the slot where that ends. One block runs a slot, th
 at every slot a source has run less than one block more or less than its ideal run, however long the input is.
 Weights are taken as fractions, so nothing is rounded. When a source has ideally run out, a new phase begins.
 
-One task schedules all blocks; it holds the counts by source and streams the slots, which are joined by bucket.
-At most GROUPS sources are scheduled singly, any others as one more group. Documents are ranked within
-buckets of their source by a hash of the id, so a source that holds most rows is dealt over many tasks.
+Every source is scheduled by its own weight, however many there are. One task schedules all blocks; it holds
+the counts by source and streams the slots, which are joined by bucket. Documents are ranked within buckets of
+their source by a hash of the id, so a source that holds most rows is dealt over many tasks.
 
 Defined results: every row gets a place; a null source is a source; ties and repeated rows are ranked in some
 order; an empty table gives an empty result; other columns are kept by ``mixed``.
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 BLOCK = 16
 #: Of ``quotas``, ``schedule`` and ``phases`` alone, the rounded periodic schedule that ``mixed`` no longer uses.
 PERIOD = 1024
+#: Without effect: sources are not capped any more; test_many_sources still sets it.
 GROUPS = 255
 #: Slots of a batch that the scheduling task hands on.
 BATCH = 1 << 16
 #: Rows of a bucket, as planned, and the most buckets.
 BUCKET, BUCKETS = 4096, 1 << 16
-_REST = "\x00rest"
 
 
 def exact_slots(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int]]:
@@ -146,11 +146,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 
     weights: by source, positive; without, a source's share of documents to the power ``temperature``.
     """
-    spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    counts = docs.groupBy(key.alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).head()[0] or 0
-    top = {r["g"]: r["n"] for r in counts.orderBy(F.desc("n"), "g").limit(GROUPS).collect()}
+    total = docs.count()
     given = {("n" if s is None else f"s{s}"): w for s, w in (weights or {}).items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +158,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["_g", "mix_block", "mix_slot", "mix_phase"])
 
     buckets = max(1, min(BUCKETS, -(-total // BUCKET)))
-    rows = docs.withColumns({"_key": key, "_h": F.xxhash64("doc_id"), "_h2": F.xxhash64("doc_id", *(["text"] if "text" in docs.columns else []))})
-    if total > sum(top.values()):
-        known = spark.createDataFrame([(g,) for g in top], "_key string")
-        rows = rows.join(F.broadcast(known.withColumn("_g", F.col("_key"))), "_key", "left").withColumn("_g", F.coalesce("_g", F.lit(_REST)))
-    else:
-        rows = rows.withColumn("_g", F.col("_key"))
+    rows = docs.withColumns({"_g": key, "_h": F.xxhash64("doc_id"), "_h2": F.xxhash64("doc_id", *(["text"] if "text" in docs.columns else []))})
     rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
     sizes = rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n_b"))
     slots = sizes.groupBy("_g").agg(F.sum("_n_b").alias("_n")).repartition(1).mapInArrow(run, "_g string, mix_block long, mix_slot long, mix_phase int")

@@ -101,6 +101,21 @@ def test_many_sources(docs_of, monkeypatch):
     assert len({r.mix_position for r in rows}) == 200
 
 
+def test_every_source_keeps_its_weight(spark):
+    n = {f"s{i}": 40 if i < 280 else 20 for i in range(320)}
+    weights = {s: 3.0 if i >= 280 else 1.0 for i, s in enumerate(n)}  # the rarest sources weigh most
+    docs = spark.createDataFrame([(i, s) for i, s in enumerate(s for s in n for _ in range(n[s]))], "doc_id long, source string")
+    rows = sorted(mixing.places(docs, weights=weights, block=1).select("mix_slot", "mix_phase", "source").collect())
+    assert [r.mix_slot for r in rows] == list(range(sum(n.values())))
+    ran, total = dict.fromkeys(n, 0), sum(weights.values())
+    first = [r.source for r in rows if r.mix_phase == 0]
+    assert len(first) > 2500
+    for t, s in enumerate(first):
+        ran[s] += 1
+        if t % 50 == 0:
+            assert all(abs(c - (t + 1) * weights[x] / total) < 1.000001 for x, c in ran.items())
+
+
 @pytest.fixture(scope="module")
 def small(spark, sf_dir, tmp_path_factory):
     out = tmp_path_factory.mktemp("small")
