@@ -4,7 +4,7 @@ Lines are split at line feeds; only lines with a word are labelled. Features of
 symbols, capitals, digits, repetition, end of sentence, earlier equal line). Viterbi decoding labels the lines
 of a text jointly; the share of words in content lines decides whether the text is retained.
 
-The weights are fitted by maximum likelihood (forward-backward) on the lines of at most about ``SAMPLE``
+The weights are fitted by maximum likelihood (forward-backward) on all lines of at most about ``SAMPLE``
 labelled texts (a documented bound): lines of texts with quality 1 are taken as content, of quality 0 as
 boilerplate, from rows where crc32(doc_id as text) mod 4 is not 2. A quadratic penalty draws them to ``PRIOR``,
 which also serves where there are no labels.
@@ -27,8 +27,6 @@ from ._text import blocks
 from .quality_classifier import _sampled, held_out
 
 SAMPLE = 3000
-#: Lines of one text that take part in fitting (a documented bound; all lines are decoded).
-LINES = 200
 #: Retained texts have at least this share of words in content lines.
 SHARE = 0.5
 #: Weights of boilerplate against content for LINE_FEATURES; then the gain of staying in a state.
@@ -128,14 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
                 s = stats(block)
                 cuts = np.searchsorted(s.line_text, np.arange(len(block) + 1))
                 for i in range(len(block)):
-                    own = s.line_features[cuts[i] : min(cuts[i + 1], cuts[i] + LINES)]
+                    own = s.line_features[cuts[i] : cuts[i + 1]]
                     if len(own):
-                        yield pa.RecordBatch.from_arrays([pa.array([int(quality[at + i])], pa.int32()), pa.array([own.ravel().tolist()], pa.list_(pa.float64()))], ["quality", "x"])
+                        yield pa.RecordBatch.from_arrays([pa.array([int(quality[at + i])], pa.int32()), pa.array([own.astype(np.float64).tobytes()], pa.binary())], ["quality", "x"])
 
-    rows = sorted((r["quality"], r["x"]) for r in texts.mapInArrow(run, "quality int, x array<double>").collect())
+    rows = sorted((r["quality"], bytes(r["x"])) for r in texts.mapInArrow(run, "quality int, x binary").collect())
     if not rows:
         return PRIOR.copy()
-    x = [np.array(r[1]).reshape(-1, width) for r in rows]
+    x = [np.frombuffer(r[1]).reshape(-1, width) for r in rows]
     text = np.repeat(np.arange(len(x)), [len(a) for a in x])
     return fit(np.concatenate(x), text, np.repeat([float(r[0] != 1) for r in rows], [len(a) for a in x]))
 

@@ -142,6 +142,15 @@ def test_rules(spark, docs_of, sf_dir, labels_of, odd):
     assert all(r.kept for r in own if r.quality == 1) and np.mean([not r.kept for r in own if r.quality == 0]) > 0.7
 
 
+def test_rules_fit_all_lines(docs_of, labels_of):
+    head = [f"A plain line number {i} that ends like a sentence." for i in range(250)]
+    tails = ["| # | $ % & * < >\n" * 300, "Another ordinary sentence that stands here, calmly.\n" * 300]
+    ids = [i for i in range(40) if i % 4 < 2]
+    labels = labels_of([(i, i % 2) for i in ids])
+    one, two = (quality_rules.train(docs_of(["\n".join([*head, tail]) for _ in ids], ids), labels) for tail in tails)
+    assert not np.allclose(one, two)
+
+
 def test_decontamination(spark, docs_of, odd):
     item = "Item one: two THREE four five six seven eight nine ten eleven"
     bench = spark.createDataFrame([(10, item), (9, item), (2, "Short, item!"), (3, None), (4, "?!"), (None, "lone marker words")], "item_id long, text string")
