@@ -66,8 +66,10 @@ def candidates(text: bytes, low: int = 0) -> tuple[list[tuple[int, int]], list[t
             b = pieces[j - 1][1]
             if not (text[b - 1 : b].isalnum() or text[b - 1 : b] == b")") or (digits[j] - digits[i] < 3 and ats[j] == ats[i] and b - a < 16):
                 continue
-            if digits[j] - digits[i] > 19 + 40 * (j - i == 1):
-                break
+            # numbers have at most 19 digits; with more, only a key or an address is left, and not of digits alone
+            n = digits[j] - digits[i]
+            if n > 19 and not (n < b - a and (_HEX.fullmatch(text, a, b) or _EMAIL.fullmatch(text, a, b))):
+                continue
             f = features(text, a, b)
             if any(f[1:8]):
                 spans.append((i, j))

@@ -49,6 +49,33 @@ def test_redaction(docs_of, odd):
     assert out.columns == odd.columns and out.count() == odd.count()
 
 
+def test_long_secrets(docs_of):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(n)) for n in (128, 256)]
+    keys += ["key_" + keys[0], "1a" * 400]
+    assert all(sum(c.isdigit() for c in k) > 59 for k in keys)
+    texts = [f'token = "{k}" and more' for k in keys] + ["7" * 90 + " 1_" + "0" * 90 + " x"]
+    rows = {r.doc_id: r for r in pii.report(docs_of(texts)).collect()}
+    for i, k in enumerate(keys):
+        at = texts[i].index(k)
+        assert rows[i].spans == f"secret:{at}:{at + len(k)}"
+    safe = {r.doc_id: r.text for r in pii.redacted(docs_of(texts)).collect()}
+    assert [safe[i] for i in range(len(keys))] == ['token = "[SECRET]" and more'] * len(keys)
+
+
+def test_digit_bound_drops_no_candidate():
+    rng = random.Random(6)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "_", "-", " ", "@", ".", "+", "12345678901234567890", "f00", "9" * 30, "x.org"]) for _ in range(rng.randint(1, 9))).encode()
+        pieces, spans, _ = _semicrf.candidates(text)
+        for i, (a, _) in enumerate(pieces):
+            for j in range(i + 1, len(pieces) + 1):
+                b = pieces[j - 1][1]
+                edges = (text[a : a + 1].isalnum() or text[a : a + 1] in (b"+", b"(")) and (text[b - 1 : b].isalnum() or text[b - 1 : b] == b")")
+                if edges and sum(48 <= c <= 57 for c in text[a:b]) > 19:
+                    assert ((i, j) in spans) == any(_semicrf.features(text, a, b)[1:8])
+
+
 def test_field_accuracy():
     rng = random.Random(99)
     zones = [_semicrf.made_up_zone(rng) for _ in range(600)]
