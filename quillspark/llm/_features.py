@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ._text import CODES, WORD, Block, Sums, mix
+from ._text import WORD, Block, content, grams, mix
 
 #: Symbols `[#*$%&|<>]`.
 SYMBOL = np.zeros(256, bool)
@@ -77,17 +77,16 @@ def stats(block: Block) -> Stats:
     bang, pipe, wide = at(buf == 33), at(buf == 124), at(buf >= 0xC0)
     a, b = offs[:-1], offs[1:]
 
-    hashes = Sums(CODES[0][buf])
-    word_hash = hashes.of(starts, ends)
+    word_hash = content(buf, starts, ends)
     text_of_word = np.repeat(np.arange(n), words)
     repeat = np.zeros(len(starts) + 1, np.int64)
     adjacent = np.zeros(len(starts), bool)
     if len(starts) > 1:
         adjacent[1:] = (word_hash[1:] == word_hash[:-1]) & (text_of_word[1:] == text_of_word[:-1])
     if len(starts) > 2:
-        grams = Sums(word_hash, 0, 1).grams(3)
+        three = grams(word_hash, 3)
         valid = np.flatnonzero(text_of_word[2:] == text_of_word[:-2])
-        _, many = again(mix(grams[valid] ^ (text_of_word[valid].astype(np.uint64) * _SALT)))
+        _, many = again(mix(three[valid] ^ (text_of_word[valid].astype(np.uint64) * _SALT)))
         hit = valid[many]
         mark = np.zeros(len(starts), bool)
         for k in range(3):
@@ -105,7 +104,7 @@ def stats(block: Block) -> Stats:
     w0, w1 = np.searchsorted(starts, line_start), np.searchsorted(starts, line_end)
     some = w1 > w0
     line_start, line_end, line_text, w0, w1 = (x[some] for x in (line_start, line_end, line_text, w0, w1))
-    key = mix(hashes.of(line_start, line_end) ^ (line_end - line_start).astype(np.uint64) ^ (line_text.astype(np.uint64) * _SALT))
+    key = mix(content(buf, line_start, line_end) ^ (line_text.astype(np.uint64) * _SALT))
     duplicate, _ = again(key)
     n_dup = np.bincount(line_text, weights=duplicate, minlength=n).astype(np.int64)
 

@@ -6,9 +6,11 @@ equal anchors at the same offset. Consecutive windows of one anchor form a regio
 about 2n/(L-q+2) of them. Regions are what is shuffled: a row for each, instead of one for each window.
 
 1. A count-min sketch of the anchors (merged from partition sketches) drops regions whose anchor is
-   estimated to occur once: the estimate never falls short, so no repeated window is lost.
-2. Regions with equal anchor and content are counted (partial aggregation bounds hot ones). A region that
-   occurs twice repeats all its windows.
+   estimated to occur once: a window has its region's anchor, so the estimate never falls short of the
+   window's count and no repeated window is lost.
+2. Regions with equal anchor and content (128 bits) are counted (partial aggregation bounds hot ones). A
+   region that occurs twice repeats all its windows. Regions with over a thousandth of all rows are under a
+   thousand; these are broadcast, so no task has one alone.
 3. Only where an anchor has several different regions, of which some occur once, are windows compared
    one by one, among one representative of each: ``inner`` says which.
 
@@ -26,26 +28,43 @@ from pyspark.sql import functions as F
 
 from . import _sketch
 from ._scratch import materialize
-from ._text import CODES, WORD, Block, Sums, blocks, mix, sliding_min
+from ._text import CODES, WORD, Block, Sums, blocks, content, expand, grams, sequences, sliding_min
 
 _LOW = np.uint64((1 << 31) - 1)
-REGION = "doc_id long, th long, anchor long, region long, a int, b int"
+REGION = "doc_id long, th long, anchor long, region long, region2 long, a int, b int"
+#: Regions with more than one in so many rows are hot.
+SHARE = 1000
 
 
 class Units:
-    """What is compared: ``first`` has each text's first unit, ``hash(which)`` sums over units."""
+    """What is compared: ``first`` has each text's first unit."""
 
     def __init__(self, block: Block, words: bool):
         self.block, self.words = block, words
         if words:
             self.starts, self.ends, self.first = block.words(WORD)
             self.n = len(self.starts)
+            self.known: dict[int, np.ndarray] = {}
         else:
             self.first, self.n = block.offs, len(block.buf)
 
-    def sums(self, which: int) -> Sums:
-        inner = Sums(CODES[which][self.block.buf], which)
-        return Sums(inner.of(self.starts, self.ends), which, 1) if self.words else inner
+    def values(self, which: int) -> np.ndarray:
+        """A hash of each word."""
+        if which not in self.known:
+            self.known[which] = content(self.block.buf, self.starts, self.ends, which)
+        return self.known[which]
+
+    def grams(self, q: int) -> np.ndarray:
+        """Hashes of all q units in a row, which only have to be equal for equal units."""
+        return grams(self.values(0), q) if self.words else Sums(CODES[0][self.block.buf]).grams(q)
+
+    def content(self, a: np.ndarray, b: np.ndarray, which: int) -> np.ndarray:
+        """A hash of the units from a to b, as they are."""
+        return sequences(self.values(which), a, b, which) if self.words else content(self.block.buf, a, b, which)
+
+    def windows(self, length: int, which: int) -> np.ndarray:
+        """Hashes of all windows of words, as they are."""
+        return grams(self.values(which), length, which)
 
 
 def regions(units: Units, length: int, q: int) -> tuple[np.ndarray, ...]:
@@ -53,8 +72,8 @@ def regions(units: Units, length: int, q: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if units.n < length:
         return none.astype(np.uint64), none, none
-    grams = units.sums(0).grams(q)
-    least = sliding_min((grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64), length - q + 1)
+    every = units.grams(q)
+    least = sliding_min((every & ~_LOW) | np.arange(len(every), dtype=np.uint64), length - q + 1)
     till = np.repeat(units.first[1:], np.diff(units.first))[: len(least)]
     start = np.flatnonzero(np.arange(length, length + len(least)) <= till)
     if not len(start):
@@ -64,15 +83,15 @@ def regions(units: Units, length: int, q: int) -> tuple[np.ndarray, ...]:
     new[1:] = at[1:] != at[:-1]
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(at)) - 1
-    return grams[at[a]], start[a], start[b]
+    return every[at[a]], start[a], start[b]
 
 
-def spans(docs: DataFrame, length: int, q: int, words: bool, inner: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def spans(docs: DataFrame, length: int, q: int, words: bool, inner: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """``doc_id, th, spans array<struct<a, b>>``: first and last starts of repeated windows, relative to the text.
 
     docs: doc_id, text, th. inner: from ``doc_id, th, text, need array<struct<anchor, n, m, a, b>>`` (texts with
-    regions to compare; n: their number, m: regions of the anchor) to rows ``doc_id, th, a, b`` of repeated
-    windows in regions with n = 1.
+    regions to compare; n: their number, m: regions of the anchor), and the same without the text, to rows
+    ``doc_id, th, a, b`` of repeated windows in regions with n = 1.
     """
 
     def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -81,7 +100,10 @@ def spans(docs: DataFrame, length: int, q: int, words: bool, inner: Callable[[Da
             if len(h):
                 yield h
 
-    bits = docs.sparkSession.sparkContext.broadcast(_sketch.merged(docs.select("text"), anchors))
+    total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    units_at_most = total / (4 if words else 1)  # words are longer as a rule; only the sketch's size depends on it
+    sketch = _sketch.merged(docs.select("text"), anchors, int(2 * units_at_most / (length - q + 2)))
+    bits = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,24 +114,29 @@ def spans(docs: DataFrame, length: int, q: int, words: bool, inner: Callable[[Da
                 if not keep.any():
                     continue
                 h, a, b = h[keep], a[keep], b[keep]
-                content = units.sums(1).of(a, b + length)
+                whole = [pa.array(units.content(a, b + length, which).view(np.int64)) for which in (0, 1)]
                 text = np.searchsorted(units.first, a, "right") - 1
                 row = pa.array(text + at)
                 base = units.first[text]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index("doc_id")).take(row), batch.column(batch.schema.get_field_index("th")).take(row), pa.array(h.view(np.int64)), pa.array(content.view(np.int64)), pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))],
-                    ["doc_id", "th", "anchor", "region", "a", "b"],
+                    [batch.column(batch.schema.get_field_index("doc_id")).take(row), batch.column(batch.schema.get_field_index("th")).take(row), pa.array(h.view(np.int64)), *whole, pa.array((a - base).astype(np.int32)), pa.array((b - base).astype(np.int32))],
+                    ["doc_id", "th", "anchor", "region", "region2", "a", "b"],
                 )
 
     found = materialize(docs.mapInArrow(rows, REGION))
-    classes = found.groupBy("anchor", "region").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "a", "b")).alias("r"))
+    key = ["anchor", "region", "region2"]
+    classes = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "a", "b")).alias("r"))
     classes = materialize(classes)
+    most = (classes.agg(F.sum("n")).head()[0] or 0) // SHARE + 1
+    hot = F.broadcast(classes.where(F.col("n") > most).select(*key))  # under SHARE rows
+    cold = classes.where((F.col("n") > 1) & (F.col("n") <= most)).select(*key)
+    place = ["doc_id", "th", "a", "b"]
+    whole = found.join(hot, key, "left_semi").select(*place).unionByName(found.join(hot, key, "left_anti").join(cold, key).select(*place))
     per_anchor = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    whole = found.join(classes.where("n > 1").select("anchor", "region"), ["anchor", "region"]).select("doc_id", "th", "a", "b")
     need = classes.join(per_anchor, "anchor").select("r.doc_id", "r.th", F.struct("anchor", "n", "m", "r.a", "r.b").alias("x"))
-    need = need.groupBy("doc_id", "th").agg(F.collect_list("x").alias("need"))
-    part = inner(keyed_join(docs, need, "inner"))
-    return whole.unionByName(part).groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    need = materialize(need.groupBy("doc_id", "th").agg(F.collect_list("x").alias("need")))
+    part = inner(keyed_join(docs, need, "inner"), need)
+    return whole.unionByName(part).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def keyed_join(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
@@ -130,12 +157,10 @@ def field(values: pa.StructArray, name: str) -> np.ndarray:
     return values.field(name).to_numpy(zero_copy_only=False)
 
 
-def expand(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def starts_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All of a..b for each pair, and the pair each comes from."""
     n = b - a + 1
-    pair = np.repeat(np.arange(len(a)), n)
-    ends = np.cumsum(n)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + a[pair], pair
+    return expand(a, n)[0], np.repeat(np.arange(len(a)), n)
 
 
 def covered(size: int, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
@@ -144,6 +169,3 @@ def covered(size: int, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     np.add.at(step, a, 1)
     np.add.at(step, np.minimum(b + length, size), -1)
     return np.cumsum(step[:-1]) > 0
-
-
-__all__ = ["REGION", "Units", "covered", "expand", "field", "keyed_join", "lists", "mix", "regions", "spans"]

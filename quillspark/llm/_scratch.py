@@ -12,13 +12,15 @@ _kept: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (local tests)."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a temporary folder, on a local master only."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jsc.isDefined():
         return jsc.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="quillspark-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -36,14 +38,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` made and that no later plan reads."""
-    path = df._scratch_path
-    for i, (spark, p) in enumerate(_kept):
-        if p == path:
-            _delete(spark, p)
-            del _kept[i]
-            return
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` made and that no later plan reads."""
+    paths = {df._scratch_path for df in tables}
+    for spark, path in [x for x in _kept if x[1] in paths]:
+        _delete(spark, path)
+        _kept.remove((spark, path))
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -1,10 +1,9 @@
 """Suffix arrays by induced sorting, in numpy.
 
-Suffixes are classed S or L by their first difference; leftmost-smaller (LMS) substrings are sorted, named and
-ranked recursively; the whole array is then induced from them, a bucket at a time (each bucket in a few array
-steps, so the work is linear and the number of Python steps depends on the alphabet, not the text).
-The recursion works on names, an alphabet too large for buckets: it doubles the compared length until all
-ranks differ or ``depth`` symbols are covered.
+Suffixes are classed S or L by their first difference; leftmost-smaller (LMS) substrings are sorted and named;
+where names repeat, the string of names is sorted by the same method, recursively; the whole array is then
+induced from the LMS suffixes in order. Bytes are induced a bucket at a time, each in a few array steps; names,
+a third of the length at most and of a large alphabet, one by one. All of it is linear.
 """
 
 from __future__ import annotations
@@ -78,43 +77,72 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int, sizes:
     return sa
 
 
-def _rank(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names, by its first ``depth`` symbols at least."""
+def _induce_names(t: list[int], is_s: list[bool], lms: list[int], ends: list[int]) -> list[int]:
+    """The same one by one, for a large alphabet; ends: where the bucket of each symbol ends."""
+    n = len(t)
+    sa = [-1] * n
+    low = ends.copy()
+    for p in reversed(lms):
+        c = t[p]
+        low[c] -= 1
+        sa[low[c]] = p
+    top = [0, *ends[:-1]]
+    last = n - 1  # the empty suffix comes first, and before it stands this one
+    sa[top[t[last]]] = last
+    top[t[last]] += 1
+    for i in range(n):
+        p = sa[i] - 1
+        if p >= 0 and not is_s[p]:
+            c = t[p]
+            sa[top[c]] = p
+            top[c] += 1
+    low = ends.copy()
+    for i in range(n - 1, -1, -1):
+        p = sa[i] - 1
+        if p >= 0 and is_s[p]:
+            c = t[p]
+            low[c] -= 1
+            sa[low[c]] = p
+    return sa
+
+
+def _sorted_names(names: np.ndarray, sigma: int) -> np.ndarray:
+    """The suffix array of a string of names from 0 to sigma - 1, each of which occurs."""
     n = len(names)
-    rank, have = names.astype(np.int64), 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: n - have if have < n else 0] = rank[have:] + 1
-        key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        fresh = np.zeros(n, np.int64)
-        fresh[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        rank, have = fresh, have * 2
-        if have >= depth or rank[order[-1]] == n - 1:
-            return order
-
-
-def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Starts of the suffixes of t (uint8) in order; with depth, suffixes equal over it may stand in any order."""
+    if sigma == n:
+        out = np.empty(n, np.int64)
+        out[names] = np.arange(n)
+        return out
+    kinds = suffix_types(names)
+    t, is_s = names.tolist(), kinds.tolist()
+    ends = np.cumsum(np.bincount(names, minlength=sigma)).tolist()
+    start = np.flatnonzero(kinds[1:] & ~kinds[:-1]) + 1
+    if len(start) > 1:
+        rough = np.array(_induce_names(t, is_s, start[np.argsort(names[start], kind="stable")].tolist(), ends))
+        start = _ranked(names, start, rough)
+    return np.array(_induce_names(t, is_s, start.tolist(), ends))
+
+
+def _ranked(t: np.ndarray, start: np.ndarray, rough: np.ndarray) -> np.ndarray:
+    """The LMS suffixes in order, from an array in which the LMS substrings are."""
+    is_lms = np.zeros(len(t), bool)
+    is_lms[start] = True
+    names = _name(t, start, rough[is_lms[rough]], len(t))
+    return start[_sorted_names(names, int(names.max()) + 1)]
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of t (uint8) in order."""
     n = len(t)
     if n < 2:
         return np.arange(n)
-    sigma = 256
-    sizes = np.bincount(t, minlength=sigma)
+    sizes = np.bincount(t, minlength=256)
     is_s = suffix_types(t)
     start = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if len(start) > 1:
-        rough = _induce(t, is_s, start[np.argsort(t[start], kind="stable")], sigma, sizes)
-        is_lms = np.zeros(n, bool)
-        is_lms[start] = True
-        order = rough[is_lms[rough]]
-        names = _name(t, start, order, n)
-        start_order = _rank(names, n if depth is None else depth // 2 + 1)
-        ranked = start[start_order]
-    else:
-        ranked = start
-    return _induce(t, is_s, ranked, sigma, sizes)
+        rough = _induce(t, is_s, start[np.argsort(t[start], kind="stable")], 256, sizes)
+        start = _ranked(t, start, rough)
+    return _induce(t, is_s, start, 256, sizes)
 
 
 def _name(t: np.ndarray, start: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:

@@ -2,7 +2,9 @@
 
 A block is a concatenation of whole texts with their offsets. All functions work on numpy arrays, so the
 cost a byte is a few array passes and memory is bounded by the block (``BLOCK`` bytes, or one longer text).
-Hashes are polynomial sums modulo 2**64 over random byte codes, mixed afterwards.
+Two kinds of hashes: ``Sums`` are polynomials modulo 2**64, quick for all q-grams but with collisions that
+texts can be made for, so they only deal out work; ``content`` and ``grams`` mix every eight bytes (or every
+value) with its place, and stand for the content itself, two of them for 128 bits.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at once.
-BLOCK = 2 << 20
+#: Bytes of text worked on at once; a pass over them holds some dozens of bytes for each.
+BLOCK = 1 << 19
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -59,6 +61,66 @@ def _inverse(base: int) -> int:
     return pow(base, -1, 1 << 64)
 
 
+#: Odd constants of the independent content hashes, and what a place is worth.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_PLACE = (_U(0xD1342543DE82EF95), _U(0xAF251AF3B0F025B5))
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], _U)
+
+
+def expand(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """first, first + 1, ... of n values each, the place of each among its own, and where each run begins."""
+    begin = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(begin, n)
+    return np.repeat(first, n) + place, place, begin
+
+
+def _folded(x: np.ndarray, place: np.ndarray, begin: np.ndarray, n: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
+    x = mix(mix(x ^ _U(SEEDS[which])) + (place.astype(_U) + _U(1)) * _PLACE[which])
+    out = np.zeros(len(n), _U)
+    some = n > 0
+    if some.any():
+        out[some] = np.add.reduceat(x, begin[some])
+    return mix(out + size.astype(_U) * _U(SEEDS[1 - which]))
+
+
+def content(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the bytes of each segment, eight bytes a step."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    size = ends - starts
+    n = (size + 7) >> 3
+    _, place, begin = expand(starts, n)
+    at = np.repeat(starts, n) + 8 * place
+    x = eight[at] & _KEEP[np.minimum(np.repeat(ends, n) - at, 8)]
+    return _folded(x, place, begin, n, size, which)
+
+
+def sequences(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the values of each segment."""
+    n = ends - starts
+    at, place, begin = expand(starts, n)
+    return _folded(values[at], place, begin, n, n, which)
+
+
+def grams(values: np.ndarray, q: int, which: int = 0) -> np.ndarray:
+    """Hashes of all q consecutive values, by start: pairs, pairs of pairs and so on, then those that make up q."""
+    step = _U(SEEDS[which])
+    out, have, power, size = None, 0, values, 1
+    while True:
+        if q & size:
+            n = len(values) - have - size + 1
+            if n <= 0:
+                return np.zeros(0, _U)
+            out = power[:n].copy() if out is None else mix(out[:n] * step + power[have : have + n] + _PLACE[which])
+            have += size
+        size *= 2
+        if size > q:
+            return out
+        half = size // 2
+        power = mix(power[:-half] * step + power[half:]) if len(power) > half else power[:0]
+
+
 class Sums:
     """Prefix sums of ``values[i] * base**i``; ``of(a, b)`` hashes the values from a to b."""
 
@@ -139,12 +201,6 @@ def blocks(batch: pa.RecordBatch, column: str = "text", size: int = BLOCK) -> It
         at = to
 
 
-def fill_forward(marks: np.ndarray) -> np.ndarray:
-    """For each place the last marked place at or before it (-1 without)."""
-    at = np.where(marks, np.arange(len(marks)), -1)
-    return np.maximum.accumulate(at)
-
-
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minima of all windows of w values."""
     have = 1

@@ -1,16 +1,18 @@
 """Near-duplicate documents by bottom-k sketches (operator 4).
 
-A document's set is its distinct word shingles. One hash function orders all shingles; a sketch keeps the K
-least hashes. Documents with equal sets form a class and go on as one.
+A document's set is its distinct word shingles. One hash function orders all shingles; a sketch keeps the
+least hashes: K of them for every document, WIDE for those that others may be like. Documents with equal sets
+(128 bits of their content) form a class and go on as one.
 
 * Inverted lists of retained values generate overlaps. Two sets with similarity 0.8 share at least ``SHARED``
-  of the K least values of their union but for a chance under 4e-10, so each class enters only the lists of
-  its K - SHARED + 1 rarest values: passages that many documents share open no long lists.
+  (``WIDE_SHARED``) of the least values of their union but for a chance under 5e-10, so each class enters only
+  the lists of its rarest values, all but that many: passages that many documents share open no long lists.
 * First every class meets one hub: the class of its lists with the most common values. What is linked joins
-  one component. Then only pairs of different components are made, from the smaller components of a list to
-  the others, and only where they can be similar: their rarest shingles must meet, and early enough in both
-  sets to leave room for the intersection. First each meets a few others of its lists, which joins most that
-  can be joined; then it meets all that are still apart. So a large group of copies costs about its size.
+  one component. Then only pairs of different components are made, from the smaller components of a list of
+  the wide sketches to the others, and only where they can be similar: they must meet early enough in both
+  orders of rarity to leave room for the overlap. First each meets a few others of its lists, which joins most
+  that can be joined; then it meets all that are still apart, long lists in salted pieces. So a large group of
+  copies costs about its size.
 * The sketch of the union estimates the similarity and filters, with the same bound.
 * The full sets confirm: links have exact intersection and union sizes.
 
@@ -28,12 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import materialize
-from ._text import CODES, LOWER, WORD, Block, Sums, blocks, mix
+from ._scratch import drop, materialize
+from ._text import LOWER, WORD, Block, blocks, content, grams, sequences
 from .components import components
 
 #: Values of a sketch; values that a similar pair shares, but for a chance of P(Bin(32, 0.8) < 10) < 4e-10.
 K, SHARED = 32, 10
+#: The same of the wide sketches: P(Bin(256, 0.8) < 163) < 5e-10.
+WIDE, WIDE_SHARED = 256, 163
+#: Members of a list that meet in one piece, where all meet.
+PIECE = 512
 #: Links have at least this many hundredths of the union in common.
 PERCENT = 80
 #: Others in a list that a class meets, round by round, before it meets all that are still in other components.
@@ -42,22 +48,25 @@ MATES = (8, 32)
 
 def shingle_sets(block: Block, size: int) -> Iterator[np.ndarray]:
     """For each text the distinct hashes of its shingles, ascending."""
-    low = Block(LOWER[block.buf], block.offs)
-    starts, ends, first = low.words(WORD)
-    words = Sums(Sums(CODES[0][low.buf]).of(starts, ends), 0, 1)
-    grams = words.grams(size).view(np.int64)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+    low = LOWER[block.buf]
+    starts, ends, first = Block(low, block.offs).words(WORD)
+    words = content(low, starts, ends)
+    every = grams(words, size).view(np.int64)
+    n = np.diff(first)
+    short = sequences(words, first[:-1], np.where((n > 0) & (n < size), first[1:], first[:-1])).view(np.int64)
+    for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if b - a >= size:
-            yield np.unique(grams[a : b - size + 1])
-        elif b > a:
-            yield mix(words.of(np.array([a]), np.array([b])) + np.uint64(b - a)).view(np.int64)
+            yield np.unique(every[a : b - size + 1])
         else:
-            yield grams[:0]
+            yield short[i : i + (b > a)]
 
 
-def _set_hash(values: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(values.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(values))], np.uint64)).view(np.int64)[0])
+def _identities(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """128 bits of each set's content."""
+    ends = np.cumsum([len(s) for s in sets])
+    every = np.concatenate(sets).view(np.uint64) if sets else np.zeros(0, np.uint64)
+    starts = np.append(0, ends[:-1]) if sets else np.zeros(0, np.int64)
+    return [sequences(every, starts, ends, which).view(np.int64) for which in (0, 1)]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -67,19 +76,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, class, sketch`` a row."""
+    """``doc_id, th, n, h1, h2, sketch`` a row; th is the row's hash of the text, h1 and h2 the set's identity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, key, kept = [], [], []
-            for block, _, _ in blocks(batch):
-                for s in shingle_sets(block, size):
-                    n.append(len(s))
-                    key.append(_set_hash(s))
-                    kept.append(s[:K].copy())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(key, pa.int64()), _lists(kept)], ["doc_id", "n", "class", "sketch"])
+            for block, at, to in blocks(batch):
+                own = list(shingle_sets(block, size))
+                h1, h2 = _identities(own)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array([len(s) for s in own], pa.int64()), pa.array(h1), pa.array(h2), _lists([s[:K] for s in own])],
+                    ["doc_id", "th", "n", "h1", "h2", "sketch"],
+                )
 
-    return docs.mapInArrow(run, "doc_id long, n long, class long, sketch array<long>")
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def _inverted(classes: DataFrame) -> DataFrame:
@@ -114,86 +123,120 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFra
 def _pairs(rare: DataFrame, mates: int | None) -> DataFrame:
     """Pairs ``a, b`` of classes in different parts that may be similar, each once.
 
-    All members of a list but those of its commonest part meet all others; with mates, only the about ``mates``
-    others that a hash deals to the same bucket of the list, so the work is linear in the list.
+    All members of a list but those of its commonest part meet all others, in pieces of the list; with mates,
+    only the about ``mates`` others that a hash deals to the same bucket of the list, so the work is linear.
     """
-    sizes = rare.groupBy("shingle", "part").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
-    main = sizes.groupBy("shingle").agg(F.max(F.struct("c", "part")).alias("main"), F.min("n").alias("least"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("size")).where("parts > 1").select("shingle", F.col("main.part").alias("main"), "least", "size")
-    bucket = F.lit(0).cast("long") if mates is None else F.pmod(F.xxhash64("class", "shingle", F.lit(mates)), F.ceil(F.col("size") / mates))
-    both = rare.join(main, "shingle").withColumn("bucket", bucket)
-    left = both.where("part <> main and most >= least").select("shingle", "bucket", F.col("class").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("most").alias("ma"))
-    right = both.select("shingle", "bucket", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("most").alias("mb"), (F.col("part") == F.col("main")).alias("is_main"))
-    met = left.join(right, ["shingle", "bucket"]).where((F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")) & (F.col("pa") != F.col("pb")) & (F.col("is_main") | (F.col("a") > F.col("b"))) & _near_sizes("na", "nb"))
+    sizes = rare.groupBy("value", "part").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
+    main = sizes.groupBy("value").agg(F.max(F.struct("c", "part")).alias("main"), F.min("n").alias("least"), F.count(F.lit(1)).alias("parts"), F.sum("c").alias("size")).where("parts > 1").select("value", F.col("main.part").alias("main"), "least", "size")
+    pieces = F.ceil(F.col("size") / (mates or PIECE)).cast("int")
+    dealt = F.pmod(F.xxhash64("class", "value", F.lit(mates or 0)), pieces).cast("int")
+    both = rare.join(main, "value")
+    left = both.where("part <> main and most >= least").select("value", (dealt if mates else F.explode(F.sequence(F.lit(0), pieces - 1))).alias("bucket"), F.col("class").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"), F.col("most").alias("ma"))
+    right = both.select("value", dealt.alias("bucket"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), F.col("most").alias("mb"), (F.col("part") == F.col("main")).alias("is_main"))
+    met = left.join(right, ["value", "bucket"]).where((F.col("nb") <= F.col("ma")) & (F.col("na") <= F.col("mb")) & (F.col("pa") != F.col("pb")) & (F.col("is_main") | (F.col("a") > F.col("b"))) & _near_sizes("na", "nb"))
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _prefixes(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """``shingle, class, n, place``: for each class of the open lists its rarest shingles, so many that
-    sets without one in common cannot be similar; place counts all rarer shingles of the set, shared or not.
+def _wide_lists(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """``value, class, n, most``: the lists of the wide sketches that each class enters.
+
+    place: how many rarer values the class retains, shared or not. A similar pair first meets in a list where
+    both have room for its overlap: most is the largest set that there is still room for.
     """
-    own = open_.select("class", "n").distinct().join(sets, "class").select("class", "n", F.explode("values").alias("shingle"))
-    shared = own.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    mine = own.join(shared, "shingle").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("x"))
-    mine = mine.withColumn("lone", F.col("n") - F.size("x"))
-    take = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("lone")).cast("int")
-    mine = mine.withColumn("take", take).where("take > 0")
-    return mine.select("class", "n", "lone", F.posexplode(F.slice("x", F.lit(1), F.col("take"))).alias("i", "e")).select("e.shingle", "class", "n", (F.col("lone") + F.col("i")).alias("place"))
+    own = open_.select("class", "n").distinct().join(sets, "class").select("class", "n", F.explode(F.slice("values", 1, WIDE)).alias("value"))
+    common = own.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    mine = own.join(common, "value").groupBy("class", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("x"))  # WIDE values at most
+    kept = F.least("n", F.lit(WIDE))
+    whole = F.col("n") * 100 <= WIDE * PERCENT  # then the sketches of all similar sets are the sets
+    t = F.when(whole, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(WIDE_SHARED))
+    lone = kept - F.size("x")
+    mine = mine.select("class", "n", "x", lone.alias("lone"), whole.alias("whole"), (kept - t + 1 - lone).cast("int").alias("take")).where("take > 0")
+    placed = mine.select("class", "n", "lone", "whole", F.posexplode(F.slice("x", F.lit(1), F.col("take"))).alias("i", "e"))
+    # of two whole sets of n and m, similarity needs (n + m) * 80 / 180 in common, all of them from here on
+    most = F.when(F.col("whole"), F.floor((F.col("n") - F.col("lone") - F.col("i")) * (100 + PERCENT) / PERCENT) - F.col("n")).otherwise(F.floor(F.col("n") * 100 / PERCENT))
+    return placed.select("e.value", "class", "n", most.alias("most")).where(F.col("most") * 100 >= F.col("n") * PERCENT)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of docs (doc_id, text).
+def _with_hash(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
 
-    size: words of a shingle. kept: the document stands for its component.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(sketches(docs, size))
-    classes = materialize(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    entries = materialize(_inverted(classes))
 
-    named = entries.select("class").distinct().join(classes.select("class", "least"), "class").withColumnRenamed("least", "_least")
-    texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_least"))).select("class", "text")
+def _full_sets(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """``class, values`` of the chosen ``class, doc_id, th, h1, h2``."""
+    who = chosen.select("class", F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "h1", "h2")
+    texts = docs.join(who, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("class", "h1", "h2", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            expected = batch.column(batch.schema.get_field_index("class")).to_pylist()
-            key, kept = [], []
-            for block, at, _ in blocks(batch):
-                for i, s in enumerate(shingle_sets(block, size)):
-                    if _set_hash(s) == expected[at + i]:  # ids may be shared by different texts
-                        key.append(expected[at + i])
-                        kept.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), _lists(kept)], ["class", "values"])
+            h1, h2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for block, at, to in blocks(batch):
+                own = list(shingle_sets(block, size))
+                a, b = _identities(own)
+                same = np.flatnonzero((a == h1[at:to]) & (b == h2[at:to]))  # others with that id and hash of text
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at).take(pa.array(same)), _lists([own[i] for i in same])], ["class", "values"])
+
+    return texts.mapInArrow(run, "class long, values array<long>").dropDuplicates(["class"])
 
-    sets = materialize(texts.mapInArrow(run, "class long, values array<long>").dropDuplicates(["class"]))
+
+def decided(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``doc_id, th, n_shingles, component_id`` for each row of docs (doc_id, text, th)."""
+    rows = materialize(sketches(docs, size))
+    same = rows.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(same.select(F.monotonically_increasing_id().alias("class"), "h1", "h2", "r.doc_id", "r.th", "least", "n", "sketch"))
+    entries = materialize(_inverted(classes))
+    sets = materialize(_full_sets(docs, classes.join(entries.select("class").distinct(), "class", "left_semi"), size))
 
     hubs = entries.groupBy("v").agg(F.max(F.struct("score", "class", "n")).alias("hub"))
     met = entries.join(hubs, "v").where((F.col("hub.class") != F.col("class")) & _near_sizes("n", "hub.n")).select("class", F.col("hub.class").alias("hub"), F.col("hub.score").alias("score"))
     met = met.groupBy("class", "hub").agg(F.count(F.lit(1)).alias("c"), F.first("score").alias("score")).groupBy("class").agg(F.max(F.struct("c", "score", "hub")).alias("best"))
-    tried = materialize(met.select(F.greatest("class", "best.hub").alias("a"), F.least("class", "best.hub").alias("b")).distinct())
-    links = materialize(_confirmed(tried, classes, sets))
+    tried = [materialize(met.select(F.greatest("class", "best.hub").alias("a"), F.least("class", "best.hub").alias("b")).distinct())]
+    links = [materialize(_confirmed(tried[0], classes, sets))]
+    label = materialize(components(links[0], 2))
 
-    label = components(links)
     placed = entries.join(label, entries["class"] == label["node"], "left").select("v", "class", "n", F.coalesce("component", "class").alias("part"))
-    placed = materialize(placed)
     several = placed.groupBy("v").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("v")
-    # an intersection has at most the shingles from the first common one on: with m, similarity needs (n + m) * 80 / 180 of them
-    most = F.floor((F.col("n") - F.col("place")) * (100 + PERCENT) / PERCENT) - F.col("n")
-    rare = materialize(_prefixes(placed.join(several, "v"), sets).withColumn("most", most).where(F.col("most") * 100 >= F.col("n") * PERCENT))
+    rare = materialize(_wide_lists(placed.join(several, "v"), sets))
+    drop(entries)
     for mates in (*MATES, None):
         rest = _pairs(rare.join(label, rare["class"] == label["node"], "left").withColumn("part", F.coalesce("component", "class")), mates)
-        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"))
-        links = materialize(links.unionByName(_confirmed(rest, classes, sets)))
-        tried = tried.unionByName(rest)
-        label = components(links)
-    known = classes.select("class", "least").join(label, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("component", "class").alias("component"))
+        for t in tried:
+            rest = rest.join(t, ["a", "b"], "left_anti")
+        tried.append(materialize(rest))
+        links.append(materialize(_confirmed(tried[-1], classes, sets)))
+        drop(label)
+        found = links[0]
+        for more in links[1:]:
+            found = found.unionByName(more)
+        label = materialize(components(found, 2 if mates else None))
+    drop(rare, sets, *tried, *links)
+    known = classes.join(label, F.col("class") == F.col("node"), "left").select("h1", "h2", "least", F.coalesce("component", "class").alias("component"))
     known = materialize(known)
+    drop(classes, label)
     ids = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = known.join(ids, "component").select("class", "component_id")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).alias("class")).join(named, "class", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = known.join(ids, "component").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "component_id")
+    out = rows.join(named, (F.col("n") > 0) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of docs (doc_id, text).
+
+    size: words of a shingle. kept: the document stands for its component.
+    """
+    out = decided(_with_hash(docs), size)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def without_repeated_rows(docs: DataFrame) -> DataFrame:
-    """One of each set of rows with equal doc_id and text."""
-    return docs.withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"]).drop("_th")
+def unique_documents(docs: DataFrame, size: int = 5) -> DataFrame:
+    """The rows of docs that stand for their component, unchanged; of rows with equal id and text, one.
+
+    Rows without an id stand for themselves; of those with equal texts one stays too.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(names))).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
+    rows = decided(_with_hash(docs), size).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialize(rows.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_kept")).agg(F.count(F.lit(1)).alias("_n")))
+    out = plain.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_kept")))
+    if kept.where("_n > 1").head(1):  # else there is nothing to drop
+        out = out.where("_n = 1").unionByName(out.where("_n > 1").dropDuplicates(["_id", "_kept"]))
+    return out.drop("_th", "_id", "_kept", "_n").toDF(*names)

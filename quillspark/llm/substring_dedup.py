@@ -1,7 +1,7 @@
 """Substring dedup by a count-min prefilter (operator 10).
 
-Merged partition sketches overestimate how often windows occur; a second pass groups exactly only those
-estimated repeated, losing none (see ``_repeat``).
+Merged partition sketches overestimate how often windows occur; a second pass groups exactly, by 128 bits of
+their content, only those estimated repeated, losing none (see ``_repeat``).
 
 Defined results: null and empty texts have no words; texts of fewer words than a window lose nothing; a
 repeated row counts as another text; an empty table gives an empty result; other columns are ignored.
@@ -35,29 +35,29 @@ def _windows(length: int):
             offs, need = _repeat.lists(batch.column(batch.schema.get_field_index("need")))
             for block, at, to in blocks(batch):
                 units = _repeat.Units(block, True)
-                sums = units.sums(1)
+                one, two = units.windows(length, 0), units.windows(length, 1)
                 part = slice(offs[at], offs[to])
                 own = need.slice(part.start, part.stop - part.start)
                 text = np.repeat(np.arange(at, to), np.diff(offs[at : to + 1]))
                 a, b = _repeat.field(own, "a").astype(np.int64), _repeat.field(own, "b").astype(np.int64)
-                s, pair = _repeat.expand(a, b)
+                s, pair = _repeat.starts_of(a, b)
                 if not len(s):
                     continue
                 place = s + units.first[text[pair] - at]
                 row = pa.array(text[pair])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index("doc_id")).take(row), batch.column(batch.schema.get_field_index("th")).take(row), pa.array(_repeat.field(own, "anchor")[pair]), pa.array(sums.of(place, place + length).view(np.int64)), pa.array(_repeat.field(own, "n")[pair]), pa.array(s.astype(np.int32))],
-                    ["doc_id", "th", "anchor", "window", "n", "s"],
+                    [batch.column(batch.schema.get_field_index("doc_id")).take(row), batch.column(batch.schema.get_field_index("th")).take(row), pa.array(one[place].view(np.int64)), pa.array(two[place].view(np.int64)), pa.array(_repeat.field(own, "n")[pair]), pa.array(s.astype(np.int32))],
+                    ["doc_id", "th", "window", "window2", "n", "s"],
                 )
 
     return run
 
 
 def repeated_spans(keyed: DataFrame, length: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    def inner(texts: DataFrame) -> DataFrame:
-        windows = materialize(texts.mapInArrow(_windows(length), "doc_id long, th long, anchor long, window long, n long, s int"))
-        again = windows.groupBy("anchor", "window").agg(F.sum("n").alias("t")).where("t > 1").select("anchor", "window")
-        return windows.where("n = 1").join(again, ["anchor", "window"]).select("doc_id", "th", F.col("s").alias("a"), F.col("s").alias("b"))
+    def inner(texts: DataFrame, need: DataFrame) -> DataFrame:
+        windows = materialize(texts.mapInArrow(_windows(length), "doc_id long, th long, window long, window2 long, n long, s int"))
+        again = windows.groupBy("window", "window2").agg(F.sum("n").alias("t"), F.min("n").alias("least")).where("t > 1 and least = 1").select("window", "window2")
+        return windows.where("n = 1").join(again, ["window", "window2"]).select("doc_id", "th", F.col("s").alias("a"), F.col("s").alias("b"))
 
     return _repeat.spans(keyed, length, gram, True, inner)
 

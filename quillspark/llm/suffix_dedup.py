@@ -4,7 +4,8 @@ Strings that may repeat are cut out as regions that the text itself delimits (``
 meet in one shard whichever documents they come from. A shard concatenates its regions, sorts all suffixes by
 induced sorting and computes permuted common prefixes; neighbours that agree over the length are repeats.
 
-Regions that are equal as a whole are counted before, and one of each goes into a shard. An anchor with more
+Regions that are equal as a whole (by 128 bits of their content) are counted before; where others share their
+anchor, one of each goes into a shard. An anchor with more
 than ``HOT`` different regions is split: its strings go singly to the shard their own content names.
 
 Defined results: null and empty texts have no bytes; texts shorter than the length lose nothing; a repeated
@@ -23,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _repeat
-from ._scratch import materialize
 from ._suffix import permuted_lcp, suffix_array
 from ._text import CODES, Sums, blocks
 from .substring_dedup import _keyed
@@ -49,7 +49,7 @@ def _cut(length: int, shards: int, most: int):
                 n, hot = _repeat.field(own, "n"), _repeat.field(own, "m") > most
                 shard = _repeat.field(own, "anchor").view(np.uint64) % np.uint64(shards)
                 if hot.any():
-                    s, pair = _repeat.expand(a[hot], b[hot])
+                    s, pair = _repeat.starts_of(a[hot], b[hot])
                     base = block.offs[text[hot][pair] - at] + s
                     single = Sums(CODES[1][block.buf], 1).of(base, base + length) % np.uint64(shards)
                     text = np.concatenate([text[~hot], text[hot][pair]])
@@ -79,7 +79,7 @@ def repeats_in(parts: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarr
     first = np.zeros(len(parts) + 1, np.int64)
     np.cumsum(sizes + 1, out=first[1:])
     t = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)  # no byte of UTF-8
-    sa = suffix_array(t, length)
+    sa = suffix_array(t)
     plcp = permuted_lcp(t, sa, length)
     end = np.repeat(first[1:] - 1, sizes + 1)
     valid = np.arange(len(t)) + length <= end
@@ -132,10 +132,9 @@ def _shards(length: int):
 
 
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    def inner(texts: DataFrame) -> DataFrame:
+    def inner(texts: DataFrame, need: DataFrame) -> DataFrame:
         conf = texts.sparkSession.conf
-        texts = materialize(texts)
-        size = texts.select(F.expr("aggregate(need, 0L, (s, x) -> s + (x.b - x.a + 1 + %d) * if(x.m > %d, %d, 1))" % (length, hot, length // 4)).alias("s")).agg(F.sum("s")).head()[0] or 0
+        size = need.select(F.expr("aggregate(need, 0L, (s, x) -> s + (x.b - x.a + 1 + %d) * if(x.m > %d, %d, 1))" % (length, hot, length // 4)).alias("s")).agg(F.sum("s")).head()[0] or 0
         shards = max(1, -(-size // SHARD))
         cut = texts.mapInArrow(_cut(length, shards, hot), "doc_id long, th long, shard int, n long, a int, data binary")
         dealt = cut.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), shards), "shard").sortWithinPartitions("shard")

@@ -143,7 +143,29 @@ def test_odd_rows(spark, odd):
     by = {r.doc_id: r for r in near}
     assert len(near) == n and by[6].component_id == 5 and not by[6].kept
     assert by[0].kept and by[0].n_shingles == 0 and by[1].component_id == 1 and by[None].kept
-    assert near_dedup.without_repeated_rows(odd).count() == n - 1
+    one = near_dedup.unique_documents(odd)
+    assert one.columns == odd.columns
+    kept = sorted(one.select("doc_id", "_h", "_th", "n", "class", "c0").collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    assert [r.doc_id for r in kept] == [0, 1, 2, 3, 4, 5, 7, 8, None] and {r[1:] for r in kept} == {(2, 4, 5, 6, "x")}
+
+
+def doubling(k):
+    out = "a"
+    for _ in range(k):
+        out += out.translate({97: 98, 98: 97})
+    return out
+
+
+def test_words_that_polynomials_confuse(docs_of):
+    x = doubling(11)
+    y = x.translate({97: 98, 98: 97})
+    got = near_dedup.near_duplicates(docs_of([x, y, x])).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == [0, 1, 0]
+    head = " ".join(f"w{i}" for i in range(34))
+    got = substring_dedup.remove_repeats(docs_of([f"{head} {x}", f"{head} {y}", f"v {head} {x}"])).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [35, 0, 35]
+    got = suffix_dedup.remove_repeats(docs_of([x[:256], y[:256], "c" + x[:256]]), 256).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == [256, 0, 256]
 
 
 def test_empty(spark, odd):
