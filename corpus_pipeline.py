@@ -8,7 +8,6 @@ written in SQL, so there is no oracle; tests hold every stage against brute forc
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, mixing, near_dedup, pii, quality_classifier
 from quillspark.llm._scratch import materialize
@@ -22,10 +21,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; of rows that are repeated as a whole, one stays."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return near_dedup.without_repeated_rows(out)
+    """One document of each group of near duplicates; of rows with equal id and text, one."""
+    return near_dedup.unique_documents(docs)
 
 
 def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
