@@ -43,7 +43,7 @@ PIECE = 512
 #: Links have at least this many hundredths of the union in common.
 PERCENT = 80
 #: Others in a list that a class meets, round by round, before it meets all that are still in other components.
-MATES = (8, 32)
+MATES = (16,)
 
 
 def shingle_sets(block: Block, size: int) -> Iterator[np.ndarray]:
@@ -191,7 +191,7 @@ def decided(docs: DataFrame, size: int = 5) -> DataFrame:
     met = met.groupBy("class", "hub").agg(F.count(F.lit(1)).alias("c"), F.first("score").alias("score")).groupBy("class").agg(F.max(F.struct("c", "score", "hub")).alias("best"))
     tried = [materialize(met.select(F.greatest("class", "best.hub").alias("a"), F.least("class", "best.hub").alias("b")).distinct())]
     links = [materialize(_confirmed(tried[0], classes, sets))]
-    label = materialize(components(links[0], 2))
+    label = materialize(components(links[0], 1))
 
     placed = entries.join(label, entries["class"] == label["node"], "left").select("v", "class", "n", F.coalesce("component", "class").alias("part"))
     several = placed.groupBy("v").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("v")
@@ -207,7 +207,7 @@ def decided(docs: DataFrame, size: int = 5) -> DataFrame:
         found = links[0]
         for more in links[1:]:
             found = found.unionByName(more)
-        label = materialize(components(found, 2 if mates else None))
+        label = materialize(components(found, 1 if mates else None))
     drop(rare, sets, *tried, *links)
     known = classes.join(label, F.col("class") == F.col("node"), "left").select("h1", "h2", "least", F.coalesce("component", "class").alias("component"))
     known = materialize(known)

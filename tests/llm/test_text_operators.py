@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import _semicrf, chat_format, decontaminate, pii, quality_classifier, quality_rules, queries
 
@@ -233,10 +234,9 @@ def test_tokens(spark, docs_of, sf_dir, odd):
     hard = ["<|endoftext|>", "a<|startoftext|>b.", "é x", "a ́b", "İ ﬁ it's I'LL x'", "\xa0a b", "1234 ½ ", "<|ENDOFTEXT|>", "a\x1cb c\x85d", "x.'s y!'t don't.", "(a) \"b\" ...", "'.s", "", "  ", "ΟΔΟΣ ΟΔΟΣ."]
     for t in hard:
         n = [whole(t[:k]) for k in range(len(t) + 1)]
-        counts = c.counts([t])[0]
-        assert sum(counts) == n[-1] and c.prefix_counts(t).tolist() == n
+        assert c.count(t) == n[-1] and c.prefix_counts(t).tolist() == n
         for limit in range(n[-1] + 2):
-            assert c.longest(t, counts, limit) == max(k for k in range(len(t) + 1) if n[k] <= limit)
+            assert c.longest(t, limit) == max(k for k in range(len(t) + 1) if n[k] <= limit)
     texts = hard + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
     got = {r.doc_id: r for r in token_counts(docs_of(texts), path, limit=50).collect()}
     for i, t in enumerate(texts):
@@ -245,6 +245,35 @@ def test_tokens(spark, docs_of, sf_dir, odd):
     assert token_counts(odd, path).count() == odd.count()
 
 
+def test_prefix_table(docs_of, odd):
+    P = pytest.importorskip("public_tokenizers")
+    from quillspark.llm import token_counts as T
+
+    path = P.path("word_bpe_49k.json")
+    whole = T.counter(path).tokenizer
+    rng = random.Random(5)
+    parts = ["the", "ing", "'", "'re", "'ll", "s", "-", "7", "é", "ß", "İ", "Σ", " ", "\n", "\u3000", "中文", "क्षि", "🙂", "<|endoftext|>", "<|", "e\u0301", "\x1c", "_"]
+    texts = ["", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(1500))]
+    rows = {r.doc_id: r.counts for r in T.prefix_table(docs_of(texts), path).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i] == [len(e.ids) for e in whole.encode_batch([t[:k] for k in range(len(t) + 1)], add_special_tokens=False)], t
+    asked = T.prefix_table(docs_of(texts[:200]), path).withColumns({"five": T.tokens_before(F.col("counts"), 5), "fits": T.fitting(F.col("counts"), 4)}).collect()
+    for r in asked:
+        assert r.five == r.counts[min(5, len(r.counts) - 1)] and r.fits == max(k for k, n in enumerate(r.counts) if n <= 4)
+    assert T.prefix_table(odd, path).count() == odd.count()
+
+
+def test_tokens_without_white_space():
+    P = pytest.importorskip("public_tokenizers")
+    from quillspark.llm.token_counts import Counter
+
+    c = Counter(P.path("word_bpe_49k.json"))
+    for t in ("中文字" * 20_000, "aGVsbG8" * 20_000, "x" * 100_000, "=" * 50_000, "0" * 50_000):
+        counts = c.prefix_counts(t)
+        assert counts[-1] == c.count(t) == len(c.tokenizer.encode(t, add_special_tokens=False).ids)
+        assert c.longest(t, 2048) == np.flatnonzero(counts <= 2048)[-1]
+
+
 def test_tokens_of_mixed_punctuation():
     P = pytest.importorskip("public_tokenizers")
     from quillspark.llm.token_counts import Counter
@@ -254,11 +283,11 @@ def test_tokens_of_mixed_punctuation():
     texts = ["ok'.", "a-.", "|#", "->.", "İ.", "\u0958.", "x\u0301.", "e\u0301.", "½.", "<|endoftext|>.", "He said 'ok'. The dogs', he wrote, are 'here'!", "| a_. | <b>; |--:| x->y(); _z_, | ** |"]
     rng = random.Random(3)
     texts += ["".join(rng.choice("aZé7½İ一'-<>|_.,;:!?*#$()[]{}\"/\\~^=+@`\u0301\u0958 ") for _ in range(rng.randint(1, 12))) for _ in range(300)]
-    for t, counts in zip(texts, c.counts(texts), strict=True):
+    for t in texts:
         n = whole(t)
-        assert sum(counts) == n, t
+        assert c.count(t) == n, t
         for limit in range(n + 2):
-            assert c.longest(t, counts, limit) == max(k for k in range(len(t) + 1) if whole(t[:k]) <= limit), t
+            assert c.longest(t, limit) == max(k for k in range(len(t) + 1) if whole(t[:k]) <= limit), t
 
 
 def test_chat(spark):
