@@ -1,12 +1,13 @@
 """Benchmark decontamination by one Aho-Corasick automaton (operator 9).
 
 The patterns are the windows of WINDOW consecutive words of every item (an item with fewer words is one
-window), each with a space on both sides. A document is normalised the same way and scanned once; ends of
-matches give word positions, which map back to offsets in the original text.
+window). The automaton reads two signs for each word of an item, whatever its length; a document is normalised
+the same way, its other words all have the same two signs, and it is scanned once; ends of matches are word
+positions, which map back to offsets in the original text.
 
-The automaton is built in each worker from the broadcast items. Items over ``PART`` bytes in all are dealt to
-several automata by hash; the scans are chained in one stage, so no size is beyond reach and nothing larger
-than PART is broadcast or collected.
+The automaton is built in each worker from the broadcast items, ``PART`` bytes of them at most. Items of more
+bytes in all are cut into overlapping pieces and dealt to several automata by hash; the scans are chained in one
+stage, so no size is beyond reach and nothing larger than about PART is broadcast or collected.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no window; an item
 with a null id hits words but is not listed; repeated items count once; repeated documents count each; an
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of items in one automaton.
-PART = 8 << 20
+#: Bytes of items in one automaton; so few that their words are fewer than BASE * BASE.
+PART = 2 << 20
+#: Signs that come first and signs that come second in a word; the two sets are apart, so words are met whole.
+BASE = 1024
+#: Windows of a piece of an item.
+PIECE = 4096
 
 #: Lower-cases A-Z and blanks what is outside `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` then.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -40,48 +45,88 @@ def normalised(text: str) -> list[bytes]:
     return text.encode().translate(_TABLE).split()
 
 
-_built: dict[tuple, object] = {}
+class Words(dict):
+    """The two signs of each word; words of no item share theirs."""
 
+    def __missing__(self, word: bytes) -> str:
+        return "\0\0"
 
-def automaton(items: list[tuple[str | None, str]], window: int):
-    """Values: the window's number of words and the items that have it."""
-    key = (window, hash(tuple(items)))
-    if key not in _built:
-        have: dict[str, tuple[int, set]] = {}
+
+class Found:
+    """The automaton, and for each pattern its number of words and the items that have it."""
+
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+        self.signs = Words()
+        self.names = sorted({i for i, _ in items if i is not None})
+        number = {i: k for k, i in enumerate(self.names)}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        owners: list[list[int]] = []
+        lengths: list[int] = []
         for item, text in items:
             words = normalised(text or "")
+            for w in words:
+                if w not in self.signs:
+                    first, second = divmod(len(self.signs), BASE)
+                    self.signs[w] = chr(1 + second) + chr(1 + BASE + first)
+            line = "".join(map(self.signs.__getitem__, words))
             for i in range(max(1, len(words) - window + 1) if words else 0):
-                part = words[i : i + window]
-                have.setdefault((b" " + b" ".join(part) + b" ").decode("latin-1"), (len(part), set()))[1].add(item)
-        built = None
-        if have:
-            built = ahocorasick.Automaton()
-            for pattern, value in have.items():
-                built.add_word(pattern, value)
-            built.make_automaton()
+                key = line[2 * i : 2 * (i + window)]
+                at = self.automaton.get(key, -1)
+                if at < 0:
+                    self.automaton.add_word(key, at := len(owners))
+                    owners.append([])
+                    lengths.append(len(key) // 2)
+                if item is not None:
+                    owners[at].append(number[item])
+        self.first = np.cumsum([0, *map(len, owners)])
+        self.owners = np.array([i for own in owners for i in own], np.int64)
+        self.lengths = np.array(lengths, np.int64)
+        self.any = bool(owners)
+        if owners:
+            self.automaton.make_automaton()
+
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Hit words as (first, past the last), in order of their ends, and the items found."""
+        line = "".join(map(self.signs.__getitem__, words))
+        spans, which = [], set()
+        for end, at in self.automaton.iter(line):
+            last = (end + 1) // 2
+            spans.append((last - int(self.lengths[at]), last))
+            which.add(at)
+        items = {self.names[i] for at in which for i in self.owners[self.first[at] : self.first[at + 1]].tolist()}
+        return spans, items
+
+
+_built: dict[tuple, Found] = {}
+
+
+def automaton(items: list[tuple[str | None, str | None]], window: int) -> Found:
+    key = (window, hash(tuple(items)))
+    if key not in _built:
         _built.clear()
-        _built[key] = built
+        _built[key] = Found(items, window)
     return _built[key]
 
 
-def hits(found, joined: bytes) -> tuple[list[tuple[int, int]], set]:
-    """Hit words as (first, past the last), in order of their ends, and the items found."""
-    spans, items = [], set()
-    blanks = None
-    for end, (n, ids) in found.iter(joined.decode("latin-1")):
-        if blanks is None:
-            blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-        last = int(np.searchsorted(blanks, end))  # words that end before this blank
-        spans.append((last - n, last))
-        items |= ids
-    return spans, items
+def _pieces(window: int):
+    """Items in overlapping pieces of at most PIECE windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = normalised(text or "")
+                cut = [b" ".join(words[i : i + PIECE + window - 1]) for i in range(0, max(1, len(words) - window + 1), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(cut), pa.string()), pa.array([c.decode() for c in cut], pa.string())], ["item", "text"])
+
+    return run
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
     """docs with ``_spans array<struct<a, b>>`` (hit words of the normalised text) and ``_items array<string>``."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).head()[0] or 0) // part))
+    items = items.mapInArrow(_pieces(window), "item string, text string").distinct()
+    parts = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 1)).head()[0] or 0) // part))
     out = docs.withColumns({"_spans": F.array().cast("array<struct<a:int,b:int>>"), "_items": F.array().cast("array<string>")})
     if parts > 1:
         items = items.withColumn("_part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
@@ -97,7 +142,7 @@ def _scan(items, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton(items.value, window)
         for batch in batches:
-            if found is None:
+            if not found.any:
                 yield batch
                 continue
             spans, ids = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
@@ -105,10 +150,10 @@ def _scan(items, window: int):
                 raw = text.as_py()
                 if not raw:
                     continue
-                own, which = hits(found, b" " + b" ".join(normalised(raw)) + b" ")
+                own, which = found.hits(normalised(raw))
                 if own:
                     spans[i] = [*spans[i], *({"a": a, "b": b} for a, b in own)]
-                    ids[i] = sorted({*ids[i], *(x for x in which if x is not None)})
+                    ids[i] = sorted({*ids[i], *which})
             columns = [*batch.columns[:-2], pa.array(spans, span_type), pa.array(ids, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
@@ -158,6 +203,3 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     names = docs.columns
     plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(names)))
     return scanned(plain, benchmark, window).where(F.size("_spans") == 0).drop("_spans", "_items").toDF(*names)
-
-
-__all__ = ["automaton", "clean_documents", "hits", "normalised", "report", "scanned"]
