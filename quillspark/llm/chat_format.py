@@ -8,7 +8,9 @@ them where conversations fit in memory. Built-in functions only.
 
 Defined results: a null role is the speaker ``unknown``; rows with a null conv_id form one conversation; null
 texts are empty and never trained on; a conversation of system messages only has no perspective; repeated rows
-are rendered each; an empty table gives an empty result; markers within texts are broken by a space.
+are rendered each; an empty table gives an empty result; markers within texts and names are broken by a space,
+and line ends within a name are spaces in its header. In ``dialogues`` messages of one turn stand in order of
+their rendered text.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ def rotated(conversations: DataFrame) -> DataFrame:
     own = F.col("speaker") == F.col("perspective")
     role = F.when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).when(own, "assistant").otherwise("user")
     name = F.when(F.col("role") == "user", F.col("speaker"))
-    head = F.concat(F.lit("<|im_start|>"), F.col("role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
+    safe = F.translate(F.replace(F.col("name"), F.lit("<|im_"), F.lit("<| im_")), "\r\n", "  ")
+    head = F.concat(F.lit("<|im_start|>"), F.col("role"), F.coalesce(F.concat(F.lit(" name="), safe), F.lit("")), F.lit("\n"))
     out = each.withColumn("role", role).withColumn("name", name).withColumn("rendered", F.concat(head, "text", F.lit("<|im_end|>\n"))).withColumn("trained", own & (F.col("text") != ""))
     start = F.char_length(head)
     end = F.when(F.col("trained"), start + F.char_length("text") + len("<|im_end|>")).otherwise(start)
@@ -60,7 +63,7 @@ WITH said AS (
 ), named AS (
   SELECT *, CASE WHEN role = 'user' THEN speaker END AS name, speaker = perspective AND text <> '' AS trained FROM each
 ), headed AS (
-  SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM named
+  SELECT *, '<|im_start|>' || role || coalesce(' name=' || translate(replace(name, '<|im_', '<| im_'), chr(13) || chr(10), '  '), '') || chr(10) AS head FROM named
 )
 SELECT conv_id, perspective, turn, role, name, head || text || '<|im_end|>' || chr(10) AS rendered, trained,
   CAST(length(head) AS INTEGER) AS mask_start,
