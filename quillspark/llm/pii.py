@@ -2,10 +2,11 @@
 
 The patterns give emails, IPv4 addresses, card numbers and phone numbers, leftmost and non-overlapping by kind;
 matches that fail their check are dropped and not retried. The field segments every zone (neighbouring words
-with a digit or an at sign) and adds what overlaps no pattern's span: numbers that a greedy match ran together
-and dropped, and secrets (access keys, passwords, tokens).
+with a digit, an at sign, an equals sign or an underscore, and values after a name of secrets) and adds what
+overlaps no pattern's span: numbers that a greedy match ran together and dropped, phone numbers without a plus
+sign, national numbers, and secrets (access keys, passwords, tokens).
 
-Only places near a digit, an at sign or a plus sign are looked at one by one; they are found by array
+Only places near those signs are looked at one by one; they are found by array
 operations on whole blocks. Patterns hold ASCII only, so a match lies within one run of its characters.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; repeated rows
@@ -28,7 +29,8 @@ from ._text import SPACE, WORD, Block, blocks
 
 #: Kinds by patterns, then those that only the field knows.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "secret")
+KINDS = (*BASE, "secret", "id")
+_MORE = ("secret", "id", "added", "spans")
 
 
 def _bytes(chars: bytes, *ranges: tuple[int, int]) -> np.ndarray:
@@ -48,7 +50,8 @@ PATTERNS = {
     "phone": (re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]"), _bytes(b" ().-+", _DIGITS), _bytes(b"+"), 1),
 }
 _NUMBER = _bytes(b"", _DIGITS)
-_NEAR = _bytes(b"@", _DIGITS)
+_NEAR = _bytes(b"@=_", _DIGITS)
+_NAME = re.compile(rb"(?:password|passwd|pwd|secret|token|key|auth)\s*[=:]\s*[\"']?", re.I)
 
 
 def _valid(kind: str, match: bytes) -> bool:
@@ -61,9 +64,9 @@ def _valid(kind: str, match: bytes) -> bool:
 
 
 def _runs(block: Block, table: np.ndarray, needed: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, start and end of the runs of table's bytes that have ``least`` of the needed ones."""
+    """Text, start and end of the runs of table's bytes that have ``least`` of the needed places."""
     buf, offs = block.buf, block.offs
-    at = np.flatnonzero(needed[buf])
+    at = np.flatnonzero(needed)
     if not len(at):
         return at, at, at
     outside = np.flatnonzero(~table[buf])
@@ -85,7 +88,7 @@ def base_spans(block: Block) -> list[tuple[int, str, int, int]]:
     """(text, kind, start, end) of the patterns, as bytes of the block, by kind and start."""
     out = []
     for kind, (pattern, table, needed, least) in PATTERNS.items():
-        text, a, b = _runs(block, table, needed, least)
+        text, a, b = _runs(block, table, needed[block.buf], least)
         if kind != "email" and len(a):
             enough = _digit_count(block.buf, a, b) >= {"ip": 4, "card": 13, "phone": 9}[kind]
             text, a, b = text[enough], a[enough], b[enough]
@@ -96,8 +99,12 @@ def base_spans(block: Block) -> list[tuple[int, str, int, int]]:
 
 
 def zones(block: Block) -> list[tuple[int, int, int]]:
-    """(text, start, end) of neighbouring words with a digit or an at sign, one white space apart."""
-    text, a, b = _runs(block, WORD, _NEAR, 1)
+    """(text, start, end) of neighbouring words that may hold an entity, one white space apart."""
+    near = _NEAR[block.buf]
+    for m in _NAME.finditer(block.buf.tobytes()):  # the name's mark and the value after it
+        near[m.start() : m.end()] |= WORD[block.buf[m.start() : m.end()]]
+        near[m.end() : m.end() + 1] = WORD[block.buf[m.end() : m.end() + 1]]
+    text, a, b = _runs(block, WORD, near, 1)
     if not len(a):
         return []
     joined = np.zeros(len(a), bool)
@@ -147,21 +154,28 @@ def _joined(spans: list) -> str:
 
 
 def report(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
-    """``doc_id``, counts of the patterns' spans, their digest, and all spans as text, for each row of docs."""
+    """``doc_id``, counts of the patterns' spans, their digest, all spans as text, and counts of the field's own.
+
+    n_secret, n_id: spans of kinds that have no pattern; n_added: all spans that the field adds; n_spans: all.
+    """
     w = _semicrf.WEIGHTS if weights is None else weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, spans = {k: [] for k in BASE}, [], []
+            counts, digests, spans = {k: [] for k in (*BASE, *_MORE)}, [], []
             for _, base, every in found(batch, w):
                 for k in BASE:
                     counts[k].append(sum(s[0] == k for s in base))
+                for k in ("secret", "id"):
+                    counts[k].append(sum(s[0] == k for s in every))
+                counts["added"].append(len(every) - len(base))
+                counts["spans"].append(len(every))
                 digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
                 spans.append(_joined(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[k], pa.int64()) for k in BASE), pa.array(digests, pa.string()), pa.array(spans, pa.string()), *(pa.array(counts[k], pa.int64()) for k in _MORE)], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in _MORE)])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return plain.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_id long, n_added long, n_spans long")
 
 
 def redacted(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
