@@ -10,8 +10,11 @@ Every source is scheduled by its own weight, however many there are. One task sc
 the counts by source and streams the slots, which are joined by bucket. Documents are ranked within buckets of
 their source by a hash of the id, so a source that holds most rows is dealt over many tasks.
 
+Scheduling takes some microseconds a block; where a table has very many documents, take larger blocks.
+
 Defined results: every row gets a place; a null source is a source; ties and repeated rows are ranked in some
-order; an empty table gives an empty result; other columns are kept by ``mixed``.
+order among themselves; a given weight that is not positive is an error; an empty table gives an empty result;
+other columns, of any name, are kept by ``mixed``.
 """
 
 from __future__ import annotations
@@ -28,10 +31,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 16
-#: Of ``quotas``, ``schedule`` and ``phases`` alone, the rounded periodic schedule that ``mixed`` no longer uses.
-PERIOD = 1024
-#: Without effect: sources are not capped any more; test_many_sources still sets it.
-GROUPS = 255
 #: Slots of a batch that the scheduling task hands on.
 BATCH = 1 << 16
 #: Rows of a bucket, as planned, and the most buckets.
@@ -84,71 +83,18 @@ def exact_slots(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[t
         yield names[j], i, t, phase
 
 
-def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Blocks a period, at least 1 each, summing to the period, by largest remainders."""
-    total = sum(weights.values())
-    share = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in share.items()}
-    order = sorted(share, key=lambda s: (-(share[s] - math.floor(share[s])), s))
-    i = 0
-    while sum(out.values()) < period:
-        out[order[i % len(order)]] += 1
-        i += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s], s))] -= 1
-    return out
-
-
-def schedule(n: dict[str, int], period: int = PERIOD) -> list[str]:
-    """The source that runs in each slot of a period."""
-    release = [[] for _ in range(period)]
-    for s, k in n.items():
-        for i in range(k):
-            release[i * period // k].append((-(-(i + 1) * period // k), s))
-    ready: list[tuple[int, str]] = []
-    out = []
-    for t in range(period):
-        for x in release[t]:
-            heapq.heappush(ready, x)
-        out.append(heapq.heappop(ready)[1])
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> tuple[list[tuple], list[tuple]]:
-    """(phase, source, first block, past the last, blocks a period, first slot) and (phase, source, k, slot in the period)."""
-    left = {s: b for s, b in blocks.items() if b > 0}
-    done = dict.fromkeys(left, 0)
-    runs, slots, at, phase = [], [], 0, 0
-    while left:
-        n = quotas({s: weights[s] for s in left}, period)
-        order = schedule(n, period)
-        places: dict[str, list[int]] = {s: [] for s in left}
-        for t, s in enumerate(order):
-            places[s].append(t)
-        end = min((b - 1) // n[s] * period + places[s][(b - 1) % n[s]] for s, b in left.items()) + 1
-        whole, rest = divmod(end, period)
-        for s in list(left):
-            ran = whole * n[s] + sum(t < rest for t in places[s])
-            if ran:
-                runs.append((phase, s, done[s], done[s] + ran, n[s], at))
-                slots += [(phase, s, k, t) for k, t in enumerate(places[s])]
-            done[s] += ran
-            left[s] -= ran
-            if not left[s]:
-                del left[s]
-        at += end
-        phase += 1
-    return runs, slots
-
-
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block: int = BLOCK) -> DataFrame:
     """docs with ``mix_phase, mix_block, mix_slot, mix_position`` (sort by it to read the mixture).
 
     weights: by source, positive; without, a source's share of documents to the power ``temperature``.
     """
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    total = docs.count()
     given = {("n" if s is None else f"s{s}"): w for s, w in (weights or {}).items()}
+    if any(not w > 0 for w in given.values()):
+        raise ValueError("weights must be positive")
+    names = docs.columns
+    plain = docs.toDF(*(c if c in ("doc_id", "source", "text") else f"c{i}" for i, c in enumerate(names)))
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+    total = plain.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = {g: k for batch in batches for g, k in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
@@ -158,7 +104,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["_g", "mix_block", "mix_slot", "mix_phase"])
 
     buckets = max(1, min(BUCKETS, -(-total // BUCKET)))
-    rows = docs.withColumns({"_g": key, "_h": F.xxhash64("doc_id"), "_h2": F.xxhash64("doc_id", *(["text"] if "text" in docs.columns else []))})
+    # where there is a text, rows without an id, or of one id, are dealt by it
+    rows = plain.withColumns({"_g": key, "_h": F.xxhash64("doc_id", *(["text"] if "text" in names else []))})
     rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
     sizes = rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n_b"))
     slots = sizes.groupBy("_g").agg(F.sum("_n_b").alias("_n")).repartition(1).mapInArrow(run, "_g string, mix_block long, mix_slot long, mix_phase int")
@@ -166,10 +113,12 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     # a bucket's slots travel with the bucket, so rows are dealt once
     own = before.withColumn("mix_block", F.explode(F.sequence(F.floor(F.col("_before") / block), F.floor((F.col("_before") + F.col("_n_b") - 1) / block)))).join(slots, ["_g", "mix_block"])
     own = own.groupBy("_g", "_b").agg(F.first("_before").alias("_before"), F.sort_array(F.collect_list(F.struct("mix_block", "mix_slot", "mix_phase"))).alias("_slots"))
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", "doc_id", "_h2")) - 1).join(own, ["_g", "_b"])
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_b").orderBy("_h", "doc_id")) - 1).join(own, ["_g", "_b"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_r"))
     placed = ranked.withColumn("_slot", F.col("_slots")[(F.floor(F.col("_rank") / block) - F.floor(F.col("_before") / block)).cast("int")]).select("*", "_slot.*")
-    return placed.withColumn("mix_position", F.col("mix_slot") * block + F.col("_rank") % block).select(*docs.columns, "mix_phase", "mix_block", "mix_slot", "mix_position")
+    placed = placed.withColumn("mix_position", F.col("mix_slot") * block + F.col("_rank") % block)
+    added = ["mix_phase", "mix_block", "mix_slot", "mix_position"]
+    return placed.select(*plain.columns, *added).toDF(*names, *added)
 
 
 def places(docs: DataFrame, **options) -> DataFrame:

@@ -11,30 +11,6 @@ from pyspark.sql import functions as F
 from quillspark.llm import mixing, near_dedup, pii, queries
 
 
-def test_schedule():
-    rng = random.Random(1)
-    for _ in range(25):
-        blocks = {f"s{i}": rng.randint(1, 300) for i in range(rng.randint(1, 9))}
-        weights = {s: rng.random() + 0.01 for s in blocks}
-        period = rng.choice([16, 64, 1024])
-        runs, slots = mixing.phases(blocks, weights, period)
-        place = {(p, s, k): t for p, s, k, t in slots}
-        at = {}
-        for p, s, a, b, n, start in runs:
-            for i in range(b - a):
-                t = start + i // n * period + place[p, s, i % n]
-                assert t not in at
-                at[t] = (p, s, n)
-        assert sorted(at) == list(range(sum(blocks.values())))
-        done, phase, begun = {}, None, 0
-        for t in range(len(at)):
-            p, s, _ = at[t]
-            if p != phase:
-                phase, begun, done = p, t, {r[1]: [0, r[4]] for r in runs if r[0] == p}
-            done[s][0] += 1
-            assert all(abs(c - (t + 1 - begun) * n / period) < 1 for c, n in done.values())
-
-
 def test_mixed(spark, docs_of, odd):
     sources = ["hot"] * 700 + ["b"] * 90 + ["c"] * 20 + [None] * 5
     docs = docs_of([f"t{i}" for i in range(len(sources))], sources=sources)
@@ -94,11 +70,28 @@ def test_deviation_does_not_grow(spark):
     assert t > 15_000
 
 
-def test_many_sources(docs_of, monkeypatch):
-    monkeypatch.setattr(mixing, "GROUPS", 3)
-    sources = [f"s{i % 11}" for i in range(200)]
-    rows = mixing.mixed(docs_of(["t"] * 200, sources=sources), block=2).collect()
-    assert len({r.mix_position for r in rows}) == 200
+def test_placement_against_the_schedule(docs_of):
+    rng = random.Random(7)
+    sources = [rng.choice(["a", "a", "a", "b", "c", None]) for _ in range(300)]
+    weights = {"a": 0.0001, "b": 2.0, "c": 1.0, None: 0.5}
+    rows = mixing.mixed(docs_of([f"t{i}" for i in range(300)], sources=sources), weights, block=4).collect()
+    sizes = {s: sources.count(s) for s in set(sources)}
+    key = {s: "n" if s is None else f"s{s}" for s in sizes}
+    slots = {(g, i): t for g, i, t, _ in mixing.exact_slots({key[s]: -(-n // 4) for s, n in sizes.items()}, {key[s]: w for s, w in weights.items()})}
+    held = {}
+    for r in rows:
+        assert r.mix_slot == slots[key[r.source], r.mix_block] and r.mix_position // 4 == r.mix_slot
+        held.setdefault((r.source, r.mix_block), []).append(r.mix_position)
+    for s, n in sizes.items():  # full blocks, but for the last
+        assert [len(held[s, i]) for i in range(-(-n // 4))] == [4] * (n // 4) + [n % 4] * (n % 4 > 0)
+    with pytest.raises(ValueError, match="positive"):
+        mixing.mixed(docs_of(["x"]), {"s": 0})
+
+
+def test_extra_columns_of_working_names(docs_of):
+    docs = docs_of(["x", "y", None], [1, None, None], ["a", "b", None]).withColumns({c: F.lit(i) for i, c in enumerate(("_h", "_g", "_b", "_n", "_r", "_slot", "_before", "c0"))})
+    rows = mixing.mixed(docs).collect()
+    assert len(rows) == 3 and {r[5:13] for r in rows} == {tuple(range(8))}
 
 
 def test_every_source_keeps_its_weight(spark):
