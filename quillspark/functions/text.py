@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -178,18 +177,25 @@ def bound_text(text: Column | str, limit: Column | int, counter: TokenCounter =
 
 
 def bound_list(items: Column | str, limit: int, counter: TokenCounter = count_tokens, spare: int = 40) -> Column:
-    """The longest run of items from the start whose join by blank lines fits; a bounded part of the next one, if over ``spare`` tokens are left."""
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(True).alias("open"))
+    """The longest run of items from the start whose join by blank lines fits; a bounded part of the next one, if over ``spare`` tokens are left.
 
-    def step(acc, item):
-        joined = F.array_join(F.concat(acc["kept"], F.array(item)), "\n\n")
-        fits = counter(joined) <= limit
-        left = F.lit(limit) - counter(F.array_join(acc["kept"], "\n\n"))
-        part = F.when(left > spare, F.concat(acc["kept"], F.array(bound_text(item, left, counter)))).otherwise(acc["kept"])
-        kept = F.when(~acc["open"], acc["kept"]).when(fits, F.concat(acc["kept"], F.array(item))).otherwise(part)
-        return F.struct(kept.alias("kept"), (acc["open"] & fits).alias("open"))
+    Counts add up over blank lines, so the items are counted once each.
+    """
+    x = F.coalesce(_c(items), F.array().cast("array<string>"))
+    own = F.transform(x, lambda s: F.greatest(counter(s) - 1, F.lit(0)).cast("long"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("k"), F.lit(True).alias("open"))
+
+    def step(acc, n):
+        total = acc["n"] + n
+        fits = acc["open"] & (F.when(total > 0, total + 1).otherwise(0) <= limit)
+        return F.struct(F.when(fits, total).otherwise(acc["n"]).alias("n"), (acc["k"] + fits.cast("int")).alias("k"), fits.alias("open"))
 
-    return F.aggregate(_c(items), start, step)["kept"]
+    def cut(s):
+        left = F.lit(limit) - F.when(s["n"] > 0, s["n"] + 1).otherwise(0)
+        part = F.transform(F.slice(x, s["k"] + 1, F.lit(1)), lambda item: bound_text(item, left, counter))
+        return F.concat(F.slice(x, F.lit(1), s["k"]), F.when(left > spare, part).otherwise(F.array().cast("array<string>")))
+
+    return F.aggregate(own, start, step, cut)
 
 
 def first_seen(items: Column | str) -> Column:
@@ -199,7 +205,3 @@ def first_seen(items: Column | str) -> Column:
 def chunk_title(labels_: Column) -> Column:
     first, last = F.element_at(labels_, 1), F.element_at(labels_, -1)
     return F.when(F.size(labels_) == 0, F.lit("(empty)")).when(F.size(labels_) == 1, first).otherwise(F.concat(first, F.lit(" -> "), last))
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

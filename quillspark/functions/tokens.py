@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: A run of letters, digits and underscores, or one other visible character.
 PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
-_PY = re.compile(r"\w+|[^\w\s]")
+_PY = re.compile(r"\w+|[^\w \t\n\r\x0b\x0c]")  # of white space, only that of ASCII counts nothing, as in PATTERN
 TURN_START, TURN_END, IMAGE_MARK, IMAGE_TOKEN = "<start_of_turn>", "<end_of_turn>", "<|image|>", "<start_of_image>"
 
 TokenCounter = Callable[[Column], Column]

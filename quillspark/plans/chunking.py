@@ -6,7 +6,7 @@ ancestors all delegate. That is one explode and one join by paper, whatever the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -37,30 +37,57 @@ def decisions(nodes: DataFrame, limit: int, target: str = "subsection") -> DataF
     )
 
 
-def _reached(decided: DataFrame) -> DataFrame:
-    """Nodes whose proper ancestors all delegate."""
+def _with_reached(decided: DataFrame) -> DataFrame:
+    """Adds ``reached``: all proper ancestors delegate."""
     out = decided.withColumn("_b", in_paper((F.col("decision") != "delegate") & ~F.col("is_leaf")))
-    return out.where(~F.arrays_overlap(F.slice("path", F.lit(1), F.col("depth")), "_b")).drop("_b")
+    return out.withColumn("reached", ~F.arrays_overlap(F.slice("path", F.lit(1), F.col("depth")), "_b")).drop("_b")
+
+
+def _reached(decided: DataFrame) -> DataFrame:
+    return _with_reached(decided).where("reached").drop("reached")
+
+
+def _numbered(emitted: DataFrame) -> DataFrame:
+    return emitted.withColumn("chunk_index", F.row_number().over(Window.partitionBy("paper_id").orderBy("node_order")))
 
 
 def units(decided: DataFrame) -> DataFrame:
-    """Emitted nodes with ``chunk_index`` from 1."""
-    out = _reached(decided).where("decision = 'emit'")
-    return out.withColumn("chunk_index", F.row_number().over(Window.partitionBy("paper_id").orderBy("node_order")))
+    """Emitted nodes with ``chunk_index`` from 1. Nodes that fail are left to ``errors``."""
+    return _numbered(_reached(decided).where("decision = 'emit'"))
+
+
+def _message(limit: int) -> Column:
+    return F.format_string("Node %04d was marked whole but has %d tokens, over the chunk text limit %d.", F.col("node_order"), F.col("token_count"), F.lit(limit))
 
 
 def errors(decided: DataFrame, limit: int) -> DataFrame:
     """All nodes that make the plan fail, with the message; ``is_first`` marks the one that is met first."""
     out = _reached(decided).where("decision = 'error'")
-    message = F.format_string("Node %04d was marked whole but has %d tokens, over the chunk text limit %d.", F.col("node_order"), F.col("token_count"), F.lit(limit))
     first = F.row_number().over(Window.partitionBy("paper_id").orderBy("node_order")) == 1
-    return out.select("paper_id", "node_order", "token_count", message.alias("message"), first.alias("is_first"))
+    return out.select("paper_id", "node_order", "token_count", _message(limit).alias("message"), first.alias("is_first"))
+
+
+def outcomes(decided: DataFrame, limit: int) -> DataFrame:
+    """Units and failures together: ``chunk_index`` of a unit, ``message`` of a node that fails, the other one null."""
+    out = _reached(decided).where("decision IN ('emit', 'error')")
+    good = F.col("decision") == "emit"
+    index = F.when(good, F.sum(good.cast("int")).over(Window.partitionBy("paper_id").orderBy("node_order"))).cast("int")
+    return out.withColumn("chunk_index", index).withColumn("message", F.when(~good, _message(limit)))
+
+
+def counters(decided: DataFrame) -> DataFrame:
+    """``paper_id, chunks, errors``: how many units a paper has, and how many nodes that fail."""
+    of = lambda d: F.count_if(F.col("decision") == d)
+    return _reached(decided).groupBy("paper_id").agg(of("emit").alias("chunks"), of("error").alias("errors"))
 
 
 def plan(nodes: DataFrame, budget: TokenBudget | None = None, target: str = "subsection") -> DataFrame:
-    """Units of nodes with totals; raises at run time where a whole node is over the limit."""
+    """Units of nodes with totals; the query fails, with the message, where a whole node is over the limit."""
     limit = checked_limit(budget or TokenBudget())
-    return units(decisions(nodes, limit, target))
+    checked = _with_reached(decisions(nodes, limit, target))
+    # one expression, so that a node is only asked for its decision where it is reached
+    emitted = F.when(~F.col("reached"), F.lit(False)).when(F.col("decision") == "error", F.raise_error(_message(limit)).cast("boolean")).otherwise(F.col("decision") == "emit")
+    return _numbered(checked.where(emitted).drop("reached"))
 
 
 def validated(nodes: DataFrame, budget: TokenBudget | None = None, target: str = "subsection") -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.budget import DigestionLimits, TokenBudget, scaled_column
-from .functions.tokens import TURN_END, TURN_START, count_prompt_tokens, count_tokens, format_prompt, placeholders_match
+from .functions.tokens import TURN_END, TURN_START, count_prompt_tokens, count_tokens, format_prompt, placeholders_match, without_end_marks
 from .operators import fold, latex, runs, tree
 from .plans import chunking, prompts
 from .sources import latex as files_
@@ -169,15 +169,32 @@ def plan_auto(spark, d):
     return _planned(chunking.plan(paper_tree(spark, d)))
 
 
-@query(_plan_sql(True, _LIMIT) + _PLANNED)
+def _message_sql(limit: int) -> str:
+    return f"'Node ' || lpad(CAST(node_order AS VARCHAR), 4, '0') || ' was marked whole but has ' || token_count || ' tokens, over the chunk text limit {limit}.'"
+
+
+def _outcomes_sql(limit: int) -> str:
+    return f"""SELECT paper_id, CASE WHEN decision = 'emit' THEN CAST(count(*) FILTER (decision = 'emit') OVER (PARTITION BY paper_id ORDER BY node_order) AS INTEGER) END AS chunk_index,
+  node_order, node_type, token_count, CASE WHEN decision = 'error' THEN {_message_sql(limit)} END AS message FROM u WHERE decision IN ('emit', 'error')"""
+
+
+def _outcomes(nodes: DataFrame, limit: int) -> DataFrame:
+    return chunking.outcomes(chunking.decisions(nodes, limit), limit).select("paper_id", "chunk_index", "node_order", "node_type", "token_count", "message")
+
+
+@query(_plan_sql(True, 900) + _outcomes_sql(900))
 def plan_with_edits(spark, d):
-    nodes = paper_tree(spark, d, True)
-    return _planned(chunking.units(chunking.decisions(nodes, _LIMIT)))
+    return _outcomes(paper_tree(spark, d, True), 900)
 
 
-@query(_plan_sql(False, 1500, True) + _PLANNED)
+@query(_plan_sql(False, 1500, True) + _outcomes_sql(1500))
 def plan_top_level(spark, d):
-    return _planned(chunking.units(chunking.decisions(chunking.top_level(paper_tree(spark, d)), 1500)))
+    return _outcomes(chunking.top_level(paper_tree(spark, d)), 1500)
+
+
+@query(_plan_sql(True, 500) + "SELECT paper_id, count(*) FILTER (decision = 'emit') AS chunks, count(*) FILTER (decision = 'error') AS errors FROM u GROUP BY ALL")
+def plan_counters(spark, d):
+    return chunking.counters(chunking.decisions(paper_tree(spark, d, True), 500))
 
 
 @query(_plan_sql(True, 500) + "SELECT paper_id, node_order, token_count, 'Node ' || lpad(CAST(node_order AS VARCHAR), 4, '0') || ' was marked whole but has ' || token_count || ' tokens, over the chunk text limit 500.' AS message, row_number() OVER (PARTITION BY paper_id ORDER BY node_order) = 1 AS is_first FROM u WHERE decision = 'error'")
@@ -318,10 +335,16 @@ def scaled_token_count(spark, d):
     return _table(spark, d, "orders").select("o_orderkey", scaled_column(F.col("o_orderkey"), F.lit(0.5)).alias("scaled"))
 
 
-@query()
+@query("""SELECT c AS cache_length, s AS context_scale, c - 2440 AS usable_input_tokens, CAST(768 * s AS BIGINT) AS reserved_output_tokens, CAST(900 * s AS BIGINT) AS rolling_memory_tokens, CAST(350 * s AS BIGINT) AS instruction_tokens,
+  CAST(c - 2440 - 900 * s - 350 * s AS BIGINT) AS chunk_text_tokens, CAST(260 * s AS BIGINT) AS memory_delta, CAST(350 * s AS BIGINT) AS chunk_summary, CAST(900 * s AS BIGINT) AS image_context, CAST(180 * s AS BIGINT) AS image_summary,
+  CAST(700 * s AS BIGINT) AS final_summary, CAST(220 * s AS BIGINT) AS last_fallback, greatest(CAST(200 * s AS BIGINT), CAST(1430 * s AS BIGINT)) AS compaction_target
+FROM (VALUES (8192), (10240), (16384)) a(c), (VALUES (CAST(0.5 AS DOUBLE)), (1.0), (2.0)) b(s)""")
 def budgets(spark, d):
-    sizes = [(c, s) for c in (8192, 10240, 16384) for s in (0.5, 1.0, 2.0)]
-    return spark.createDataFrame([(TokenBudget.make(c, s).as_dict() | {"limits": str(DigestionLimits.make(s))}) for c, s in sizes])
+    rows = []
+    for c, s in ((c, s) for c in (8192, 10240, 16384) for s in (0.5, 1.0, 2.0)):
+        n = DigestionLimits.make(s)
+        rows.append(TokenBudget.make(c, s).as_dict() | {"memory_delta": n.memory_delta_tokens, "chunk_summary": n.chunk_summary_tokens, "image_context": n.image_context_tokens, "image_summary": n.image_summary_tokens, "final_summary": n.final_summary_tokens, "last_fallback": n.final_summary_fallback_tokens[-1], "compaction_target": n.compaction_target})
+    return spark.createDataFrame(rows)
 
 
 # ---- LaTeX ----
@@ -462,6 +485,72 @@ def digest_papers(spark, d):
     return sinks.markdown(out).join(out.select("paper_id", "completed", "error"), "paper_id")
 
 
+def _talk_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """A conversation as a paper, its messages as chunks."""
+    talk = _table(spark, d, "conversations")
+    return talk.select(F.col("conv_id").alias("paper_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).alias("chunk_index"), F.col("text").alias("chunk_text"))
+
+
+_TALK = "WITH c AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS BIGINT) AS i, text FROM conversations)"
+
+
+@query(_TALK + """, n AS (SELECT conv_id, count(*) AS n FROM c GROUP BY ALL)
+SELECT CAST(conv_id AS VARCHAR) AS run_id, CAST(1 AS BIGINT) AS seq, 'run_started' AS event, CAST(NULL AS BIGINT) AS chunk, CAST(n AS VARCHAR) AS detail FROM n
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 2 * i, 'chunk_started', i, NULL FROM c UNION ALL SELECT CAST(conv_id AS VARCHAR), 2 * i + 1, 'chunk_completed', i, NULL FROM c
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 2 * n + 2, 'final_started', NULL, NULL FROM n UNION ALL SELECT CAST(conv_id AS VARCHAR), 2 * n + 3, 'run_completed', NULL, NULL FROM n""")
+def fold_events(spark, d):
+    return fold.events(fold.digest(_talk_chunks(spark, d))).select("run_id", "seq", "event", "chunk", "detail")
+
+
+@query(_TALK + """, n AS (SELECT conv_id, count(*) AS n FROM c GROUP BY ALL)
+SELECT CAST(conv_id AS VARCHAR) AS run_id, 'complete' AS status, n AS last_completed_chunk, CAST(2 AS BIGINT) AS plan_version, n AS chunks FROM n WHERE n > 1""")
+def resumed_run(spark, d):
+    """The first chunk of each paper digested, the rest in a second run; the state derived from both logs."""
+    rows = _talk_chunks(spark, d)
+    long = rows.groupBy("paper_id").count().where("count > 1").select("paper_id")
+    rows = rows.join(long, "paper_id")
+    first = fold.digest(rows.where("chunk_index = 1"))
+    second = fold.digest(rows, earlier=first)
+    log_ = fold.events(first).where("event NOT LIKE 'final%' AND event <> 'run_completed'").unionByName(fold.events(second, after=1000))
+    states = runs.chunk_states(log_).where("status = 'complete'").groupBy("run_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return runs.run_states(log_).join(states, "run_id")
+
+
+_FIRST_LINE = _strip("string_split(regexp_replace(text, '^\\s+', ''), chr(10))[1]")
+
+
+@query(_TALK + f"SELECT conv_id AS paper_id, i AS chunk, {_FIRST_LINE} AS summary FROM c WHERE {_matches(_FIRST_LINE)} < 350")
+def resume_fold(spark, d):
+    """The summaries of a run that stopped after two chunks and went on."""
+    rows = _talk_chunks(spark, d)
+    out = fold.digest(rows, earlier=fold.digest(rows.where("chunk_index <= 2")))
+    each = out.select("paper_id", F.posexplode("summaries").alias("i", "summary"))
+    return each.where(count_tokens("summary") < 351).select("paper_id", (F.col("i") + 1).cast("long").alias("chunk"), "summary")
+
+
+@query("SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) FILTER (w NOT IN ('<end_of_turn>', '<eos>')) AS kept FROM (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT conv_id, turn, string_split(role || ' <eos> ' || role || ' <end_of_turn> x', ' ') AS ws FROM conversations)) GROUP BY conv_id, turn")
+def end_marks(spark, d):
+    words = F.split(F.concat("role", F.lit(" <eos> "), "role", F.lit(" <end_of_turn> x")), " ")
+    return _table(spark, d, "conversations").select("conv_id", "turn", F.array_join(without_end_marks(words), " ").alias("kept"))
+
+
+@query("SELECT conv_id, CASE WHEN count(*) = 1 THEN min(role) ELSE min_by(role, turn) || ' -> ' || max_by(role, turn) END AS title FROM (SELECT conv_id, turn, any_value(role) AS role FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def chunk_titles(spark, d):
+    one = _table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.first("role").alias("role"))
+    rows = one.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("x"))
+    return rows.select("conv_id", T.chunk_title(F.col("x.role")).alias("title"))
+
+
+_IMAGE_SQL = _sql_template(prompts.IMAGE_TEMPLATE, index="turn", title="role", name="'f.png'", context="text")
+_COMPACT_SQL = _sql_template(prompts.COMPACTION_TEMPLATE, target="'1430'", memory="text")
+
+
+@query(f"SELECT conv_id, turn, {_IMAGE_SQL} AS image_prompt, {_COMPACT_SQL} AS compaction_prompt FROM conversations")
+def side_prompts(spark, d):
+    image = prompts.image_prompt(F.col("turn"), F.col("role"), F.lit("f.png"), F.col("text"))
+    return _table(spark, d, "conversations").select("conv_id", "turn", image.alias("image_prompt"), prompts.compaction_prompt(F.col("text"), DigestionLimits().compaction_target).alias("compaction_prompt"))
+
+
 @query("SELECT user_id, string_agg(event_type, '|' ORDER BY first_at) AS seen FROM (SELECT user_id, event_type, min(event_id) AS first_at FROM events GROUP BY ALL) GROUP BY ALL")
 def distinct_first_seen(spark, d):
     rows = _table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))
@@ -472,11 +561,15 @@ def distinct_first_seen(spark, d):
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
+    return _as_log(_table(spark, d, "events"))
+
+
+def _as_log(events: DataFrame) -> DataFrame:
     names = {"signup": "run_started", "click": "chunk_started", "view": "chunk_completed", "error": "chunk_failed", "purchase": "plan_updated"}
     event = F.lit(None).cast("string")
     for k, v in names.items():
         event = F.when(F.col("event_type") == k, v).otherwise(event)
-    return _table(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), event.alias("event"), (F.col("event_id") % 7).alias("chunk"))
+    return events.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), event.alias("event"), (F.col("event_id") % 7).alias("chunk"))
 
 
 _LOG = "WITH l AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, event_type AS e, event_id % 7 AS chunk FROM events)\n"
@@ -503,6 +596,22 @@ def snapshot_roundtrip(spark, d):
     return back.select("run_id", F.explode("chunks").alias("c")).where("c.status = 'failed'").groupBy("run_id", F.col("c.status").alias("status")).agg(F.count(F.lit(1)).alias("chunks"))
 
 
+@query("SELECT CAST(user_id AS VARCHAR) AS run_id, event_id % 7 AS chunk, 'i' || event_id % 3 AS image, CASE max_by(event_type, event_id) WHEN 'click' THEN 'running' WHEN 'view' THEN 'complete' ELSE 'failed' END AS status FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY ALL")
+def image_state_from_log(spark, d):
+    events = _log(spark, d).withColumn("event", F.replace(F.col("event"), F.lit("chunk_"), F.lit("image_")))
+    return runs.image_states(events.withColumn("image", F.concat(F.lit("i"), F.col("seq") % 3)))
+
+
+@query(_LOG + "SELECT run_id, CASE max_by(e, seq) FILTER (e IN ('signup', 'purchase', 'error')) WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'running' WHEN 'signup' THEN 'complete' END AS status, coalesce(max_by(chunk, seq) FILTER (e = 'view'), 0) AS last_completed_chunk FROM l GROUP BY ALL")
+def final_state_from_log(spark, d):
+    """Runs whose last word is that the final digest failed or that all is done."""
+    ends = {"run_started": "run_completed", "chunk_failed": "final_failed"}
+    event = F.col("event")
+    for old, new in ends.items():
+        event = F.when(F.col("event") == old, new).otherwise(event)
+    return runs.run_states(_log(spark, d).withColumn("event", event)).select("run_id", "status", "last_completed_chunk")
+
+
 def _signatures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = _table(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("place"), F.col("role").alias("signature"), F.length("text").alias("n"))
     return rows.where("place <= 4").select("run_id", "place", "signature"), rows.select("run_id", "place", F.when(F.col("n") % 3 == 0, "other").otherwise(F.col("signature")).alias("signature"))
@@ -538,6 +647,17 @@ def last_deltas(spark, d):
 # ---- streams ----
 
 
+@query(_LOG + "SELECT run_id, CASE max_by(e, seq) FILTER (e IN ('signup', 'purchase', 'error')) WHEN 'error' THEN 'failed' ELSE CASE WHEN count(*) FILTER (e IN ('signup', 'purchase', 'error')) > 0 THEN 'running' END END AS status, coalesce(max_by(chunk, seq) FILTER (e = 'view'), 0) AS last_completed_chunk, count(*) FILTER (e = 'purchase') + 1 AS plan_version FROM l GROUP BY ALL")
+def run_status_stream(spark, d):
+    """Run states from the log as a stream, run to its end; the sink holds one row a run."""
+    name = f"run_status_{uuid.uuid4().hex}"
+    schema = _table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    run = log.status_stream(_as_log(events)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def log_stream(spark, d):
     """Windowed counts of the event stream, run to its end; the sink holds one row a day and type."""

@@ -18,25 +18,23 @@ from pyspark.sql import DataFrame
 SIZE = 896
 
 
-def placement(height: int, width: int, size: int = SIZE) -> tuple[int, int, int, int]:
-    """Height and width scaled to fit the square (up too), and the top and left of the centred image."""
-    scale = min(size / width, size / height)
-    h, w = max(1, round(height * scale)), max(1, round(width * scale))
-    return h, w, (size - h) // 2, (size - w) // 2
+def _margins(length: int, size: int) -> tuple[int, int]:
+    """White before and after ``length`` of ``size``; the odd pixel goes behind."""
+    white = size - length
+    return white // 2, white - white // 2
 
 
 def fit_to_square(image: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """Centred on white; bicubic where a library offers it, else the nearest pixel."""
-    h, w, top, left = placement(*image.shape[:2], size)
+    """The whole image, its longer side as long as the square (up too), white around; bicubic where a library is there."""
+    rows, columns = (max(1, round(n * size / max(image.shape[:2]))) for n in image.shape[:2])
     try:
         import cv2
 
-        scaled = cv2.resize(image, (w, h), interpolation=cv2.INTER_CUBIC)
-    except ImportError:
-        scaled = image[(np.arange(h) * image.shape[0] // h)][:, np.arange(w) * image.shape[1] // w]
-    out = np.full((size, size, 3), 255, np.uint8)
-    out[top : top + h, left : left + w] = scaled
-    return out
+        fitted = cv2.resize(image, (columns, rows), interpolation=cv2.INTER_CUBIC)
+    except ImportError:  # the nearest pixel
+        picked = (np.arange(new) * old // new for new, old in ((rows, image.shape[0]), (columns, image.shape[1])))
+        fitted = image[np.ix_(*picked)]
+    return np.pad(fitted, (_margins(rows, size), _margins(columns, size), (0, 0)), constant_values=255)
 
 
 def _first_page(content: bytes, size: int) -> bytes | None:

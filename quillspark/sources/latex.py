@@ -6,8 +6,10 @@ Files are rows ``paper_id, path, text`` (path within the paper). Archives are un
 from __future__ import annotations
 
 import io
+import lzma
 import re
 import tarfile
+import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
@@ -19,20 +21,22 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 INCLUDE = r"\\(?:input|include)\{([^}]+)\}"
-#: Bytes of one archive member, unpacked; larger ones are left out and listed with null content.
-MEMBER_LIMIT = 256 << 20
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of archives, one row each. An archive that can't be read gives one row, ``path`` null and the message in ``content``."""
+    names = ["paper_id", "path", "content"]
+    row = lambda *v: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(v, (pa.string(), pa.string(), pa.binary()), strict=True)], names)
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows = []
-            with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                for member in tar:
-                    p = PurePosixPath(member.name)
-                    if member.isfile() and not p.is_absolute() and ".." not in p.parts:
-                        rows.append((path, str(p), tar.extractfile(member).read() if member.size <= MEMBER_LIMIT else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], ["paper_id", "path", "content"])
+            try:
+                with tarfile.open(fileobj=io.BytesIO(content or b""), mode="r:*") as tar:
+                    for member in tar:
+                        p = PurePosixPath(member.name)
+                        if member.isfile() and not p.is_absolute() and ".." not in p.parts:
+                            yield row(path, str(p), tar.extractfile(member).read())
+            except (tarfile.TarError, OSError, EOFError, zlib.error, lzma.LZMAError) as e:
+                yield row(path, None, f"unreadable archive: {e}".encode())
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -83,24 +87,33 @@ def _joined(path: str, relative: str) -> str:
 
 
 def expand(files: dict[str, str], main: str) -> str:
-    """The main file with all includes in place, without comments. A file is put in once; one that is missing leaves a mark."""
-    seen: set[str] = set()
-
-    def read(path: str) -> str:
-        if path in seen:
-            return ""
-        seen.add(path)
-        text = "\n".join(re.sub(r"(?<!\\)%.*", "", line) for line in files[path].splitlines())
-
-        def put(m: re.Match) -> str:
-            name = m[1].strip()
-            name = name if name.endswith(".tex") else name + ".tex"
-            found = next((p for p in (_joined(path, name), _joined("", name)) if p in files), None)
-            return f"\n[missing input: {m[1].strip()}]\n" if found is None else f"\n{read(found)}\n"
-
-        return re.sub(INCLUDE, put, text)
+    """The main file with all includes in place, without comments. A file is put in once; one that is missing leaves a mark.
 
-    return read(main)
+    Works from a stack of what is still to be put out, so includes may be nested to any depth.
+    """
+    seen: set[str] = set()
+    out: list[str] = []
+    todo: list[tuple[str, str | None]] = [("", main)]  # a text and None, or where from and what is included
+    while todo:
+        path, name = todo.pop()
+        if name is None:
+            out.append(path)
+            continue
+        file = name if name.endswith(".tex") else name + ".tex"
+        found = next((p for p in (_joined(path, file), _joined("", file)) if p in files), None) if path else main
+        if found is None:
+            out.append(f"\n[missing input: {name}]\n")
+            continue
+        around = "\n" if path else ""
+        if found in seen:
+            out.append(around * 2)
+            continue
+        seen.add(found)
+        text = "\n".join(re.sub(r"(?<!\\)%.*", "", line) for line in files[found].splitlines())
+        parts = re.split(INCLUDE, text)  # text, name, text, ...
+        own = [(part, None) if k % 2 == 0 else (found, part.strip()) for k, part in enumerate(parts)]
+        todo += reversed([(around, None), *own, (around, None)])
+    return "".join(out)
 
 
 def expanded(files: DataFrame, mains: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,39 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
-def write_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Each call writes whole files beside the old ones and then replaces them."""
-    snapshots.write.mode("overwrite").json(path)
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    to = jvm.org.apache.hadoop.fs.Path
+    return to, to(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_snapshots(snapshots: DataFrame, path: str) -> str:
+    """Writes a new version beside the old ones, then names it by one rename; a reader never sees half a version.
+
+    The version before stays for readers that have begun; older ones are deleted. Returns the version's name.
+    """
+    spark = snapshots.sparkSession
+    to, fs = _fs(spark, path)
+    old = _versions(spark, path)
+    name = f"v{(int(old[-1][1:]) if old else 0) + 1:012d}"
+    snapshots.write.mode("overwrite").json(f"{path}/_new-{name}")
+    if not fs.rename(to(f"{path}/_new-{name}"), to(f"{path}/{name}")):
+        raise OSError(f"{path}/{name} could not be put in place")
+    for gone in old[:-1]:
+        fs.delete(to(f"{path}/{gone}"), True)
+    return name
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    to, fs = _fs(spark, path)
+    if not fs.exists(to(path)):
+        return []
+    return sorted(n for n in (f.getPath().getName() for f in fs.listStatus(to(path))) if n.startswith("v"))
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """``run_id, state`` of the latest version."""
+    have = _versions(spark, path)
+    if not have:
+        raise FileNotFoundError(f"no snapshots at {path}")
+    return spark.read.schema("run_id string, state string").json(f"{path}/{have[-1]}")

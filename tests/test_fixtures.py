@@ -313,10 +313,11 @@ def test_sinks(spark, tmp_path):
 
 
 def test_images(spark):
-    assert images.placement(200, 400) == (448, 896, 224, 0)
-    assert images.placement(100, 100) == (896, 896, 0, 0)
+    assert not images.fit_to_square(np.zeros((100, 100, 3), np.uint8)).any()
+    tall = images.fit_to_square(np.zeros((400, 200, 3), np.uint8))
+    assert (tall[:, :224] == 255).all() and (tall[:, 672:] == 255).all() and not tall[:, 224:672].any()
     square = images.fit_to_square(np.zeros((200, 400, 3), np.uint8))
-    assert square.shape == (896, 896, 3) and (square[:224] == 255).all() and not square[448].any()
+    assert square.shape == (896, 896, 3) and (square[:224] == 255).all() and (square[672:] == 255).all() and not square[224:672].any()
     assert images.checked([square]).shape == (1, 896, 896, 3) and images.checked([]) is None
     with pytest.raises(ValueError):
         images.checked(np.zeros((4, 4)))
