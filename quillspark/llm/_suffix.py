@@ -77,33 +77,46 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, sigma: int, sizes:
     return sa
 
 
-def _induce_names(t: list[int], is_s: list[bool], lms: list[int], ends: list[int]) -> list[int]:
-    """The same one by one, for a large alphabet; ends: where the bucket of each symbol ends."""
-    n = len(t)
-    sa = [-1] * n
-    low = ends.copy()
-    for p in reversed(lms):
-        c = t[p]
-        low[c] -= 1
-        sa[low[c]] = p
-    top = [0, *ends[:-1]]
-    last = n - 1  # the empty suffix comes first, and before it stands this one
-    sa[top[t[last]]] = last
-    top[t[last]] += 1
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not is_s[p]:
-            c = t[p]
-            sa[top[c]] = p
-            top[c] += 1
-    low = ends.copy()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and is_s[p]:
-            c = t[p]
-            low[c] -= 1
-            sa[low[c]] = p
-    return sa
+class _Names:
+    """A string of names of a large alphabet, induced one by one.
+
+    The symbol before each place is looked up by place, -1 where the suffix there is of the other class or none;
+    the last entry serves the places of the array that are empty as yet.
+    """
+
+    def __init__(self, names: np.ndarray, sigma: int, is_s: np.ndarray):
+        self.n, self.last = len(names), int(names[-1])
+        before = np.full((2, self.n + 1), -1)
+        before[0, 1:-1] = np.where(is_s[:-1], -1, names[:-1])
+        before[1, 1:-1] = np.where(is_s[:-1], names[:-1], -1)
+        self.before_l, self.before_s = before.tolist()
+        self.ends = np.cumsum(np.bincount(names, minlength=sigma))
+        self.names = names
+
+    def induce(self, lms: np.ndarray) -> np.ndarray:
+        sa = np.full(self.n, -1)
+        c = self.names[lms]  # ascending: each goes to its place from the end of its bucket
+        sa[self.ends[c] - np.searchsorted(c, c, "right") + np.arange(len(c))] = lms
+        sa = sa.tolist()
+        top = np.append(0, self.ends[:-1]).tolist()
+        sa[top[self.last]] = self.n - 1  # the empty suffix comes first, and before it stands this one
+        top[self.last] += 1
+        before = self.before_l
+        for x in sa:  # goes on into what is put in behind it
+            c = before[x]
+            if c >= 0:
+                k = top[c]
+                sa[k] = x - 1
+                top[c] = k + 1
+        low = self.ends.tolist()
+        before = self.before_s
+        for x in reversed(sa):
+            c = before[x]
+            if c >= 0:
+                k = low[c] - 1
+                sa[k] = x - 1
+                low[c] = k
+        return np.fromiter(sa, np.int64, self.n)
 
 
 def _sorted_names(names: np.ndarray, sigma: int) -> np.ndarray:
@@ -113,14 +126,12 @@ def _sorted_names(names: np.ndarray, sigma: int) -> np.ndarray:
         out = np.empty(n, np.int64)
         out[names] = np.arange(n)
         return out
-    kinds = suffix_types(names)
-    t, is_s = names.tolist(), kinds.tolist()
-    ends = np.cumsum(np.bincount(names, minlength=sigma)).tolist()
-    start = np.flatnonzero(kinds[1:] & ~kinds[:-1]) + 1
+    is_s = suffix_types(names)
+    own = _Names(names, sigma, is_s)
+    start = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if len(start) > 1:
-        rough = np.array(_induce_names(t, is_s, start[np.argsort(names[start], kind="stable")].tolist(), ends))
-        start = _ranked(names, start, rough)
-    return np.array(_induce_names(t, is_s, start.tolist(), ends))
+        start = _ranked(names, start, own.induce(start[np.argsort(names[start], kind="stable")]))
+    return own.induce(start)
 
 
 def _ranked(t: np.ndarray, start: np.ndarray, rough: np.ndarray) -> np.ndarray:
