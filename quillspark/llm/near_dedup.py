@@ -36,15 +36,14 @@ from .components import components
 
 #: Values of a sketch; values that a similar pair shares, but for a chance of P(Bin(32, 0.8) < 10) < 4e-10.
 K, SHARED = 32, 10
-#: The same of the wide sketches: P(Bin(256, 0.8) < 163) < 5e-10.
-WIDE, WIDE_SHARED = 256, 163
+#: The same of the wide sketches: P(Bin(1024, 0.8) < 738) < 5e-10. Sets of up to 819 are in them whole.
+WIDE, WIDE_SHARED = 1024, 738
 #: Members of a list that meet in one piece, where all meet.
 PIECE = 512
 #: Links have at least this many hundredths of the union in common.
 PERCENT = 80
-#: Others in a list that a class meets, round by round, before it meets all that are still in other components;
-#: and in how many of its rarest and of its most common lists.
-MATES, SOME = (4, 16), 6
+#: Others in a list that a class meets, round by round, before it meets all that are still in other components.
+MATES = (8, 32)
 
 
 def shingle_sets(block: Block, size: int) -> Iterator[np.ndarray]:
@@ -139,11 +138,10 @@ def _pairs(rare: DataFrame, mates: int | None) -> DataFrame:
 
 
 def _wide_lists(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """``value, class, n, most, first``: the lists of the wide sketches that each class enters.
+    """``value, class, n, most``: the lists of the wide sketches that each class enters.
 
     place: how many rarer values the class retains, shared or not. A similar pair first meets in a list where
-    both have room for its overlap: most is the largest set that there is still room for. first: one of the
-    class's SOME rarest or SOME most common lists.
+    both have room for its overlap: most is the largest set that there is still room for.
     """
     own = open_.select("class", "n").distinct().join(sets, "class").select("class", "n", F.explode(F.slice("values", 1, WIDE)).alias("value"))
     common = own.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -153,10 +151,10 @@ def _wide_lists(open_: DataFrame, sets: DataFrame) -> DataFrame:
     t = F.when(whole, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.lit(WIDE_SHARED))
     lone = kept - F.size("x")
     mine = mine.select("class", "n", "x", lone.alias("lone"), whole.alias("whole"), (kept - t + 1 - lone).cast("int").alias("take")).where("take > 0")
-    placed = mine.select("class", "n", "lone", "whole", F.least("take", F.size("x")).alias("take"), F.posexplode(F.slice("x", F.lit(1), F.col("take"))).alias("i", "e"))
+    placed = mine.select("class", "n", "lone", "whole", F.posexplode(F.slice("x", F.lit(1), F.col("take"))).alias("i", "e"))
     # of two whole sets of n and m, similarity needs (n + m) * 80 / 180 in common, all of them from here on
     most = F.when(F.col("whole"), F.floor((F.col("n") - F.col("lone") - F.col("i")) * (100 + PERCENT) / PERCENT) - F.col("n")).otherwise(F.floor(F.col("n") * 100 / PERCENT))
-    return placed.select("e.value", "class", "n", most.alias("most"), ((F.col("i") < SOME) | (F.col("i") >= F.col("take") - SOME)).alias("first")).where(F.col("most") * 100 >= F.col("n") * PERCENT)
+    return placed.select("e.value", "class", "n", most.alias("most")).where(F.col("most") * 100 >= F.col("n") * PERCENT)
 
 
 def _with_hash(docs: DataFrame) -> DataFrame:
@@ -193,15 +191,14 @@ def decided(docs: DataFrame, size: int = 5) -> DataFrame:
     met = met.groupBy("class", "hub").agg(F.count(F.lit(1)).alias("c"), F.first("score").alias("score")).groupBy("class").agg(F.max(F.struct("c", "score", "hub")).alias("best"))
     tried = [materialize(met.select(F.greatest("class", "best.hub").alias("a"), F.least("class", "best.hub").alias("b")).distinct())]
     links = [materialize(_confirmed(tried[0], classes, sets))]
-    label = materialize(components(links[0], 2))
+    label = materialize(components(links[0]))
 
     placed = entries.join(label, entries["class"] == label["node"], "left").select("v", "class", "n", F.coalesce("component", "class").alias("part"))
     several = placed.groupBy("v").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("v")
     rare = materialize(_wide_lists(placed.join(several, "v"), sets))
     drop(entries)
     for mates in (*MATES, None):
-        lists = rare if mates is None else rare.where("first")
-        rest = _pairs(lists.join(label, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class")), mates)
+        rest = _pairs(rare.join(label, F.col("class") == F.col("node"), "left").withColumn("part", F.coalesce("component", "class")), mates)
         for t in tried:
             rest = rest.join(t, ["a", "b"], "left_anti")
         tried.append(materialize(rest))
