@@ -323,3 +323,24 @@ def test_images(spark):
         images.checked(np.zeros((4, 4)))
     row = images.load(spark.createDataFrame([("a/x.png", bytearray(b"junk"))], "path string, content binary")).head()
     assert row.skipped == "x.png: image could not be rendered or read"
+
+
+def test_snapshot_versions(spark, tmp_path):
+    path = str(tmp_path / "state")
+    rows = lambda s: spark.createDataFrame([("r", s)], "run_id string, state string")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_snapshots(spark, path)
+    for s in ("one", "two", "three"):
+        sinks.write_snapshots(rows(s), path)
+        assert [r.state for r in sinks.read_snapshots(spark, path).collect()] == [s]
+    assert len(sinks._versions(spark, path)) == 2
+
+
+def test_plan_raises_and_lists(spark):
+    nodes = spark.createDataFrame([("p", 0, "paper", None, False, "auto", 0), ("p", 1, "section", 1, False, "whole", 0), ("p", 2, "paragraph", None, True, "auto", 90)], "paper_id string, node_order int, node_type string, rank int, is_leaf boolean, digest_mode string, own_tokens long")
+    nodes = tree.totals(tree.parents(nodes.withColumn("include_status", F.lit("include"))))
+    with pytest.raises(Exception, match="Node 0001 was marked whole but has 90 tokens"):
+        chunking.plan(nodes, TokenBudget(usable_input_tokens=1250 + 50)).count()
+    assert chunking.plan(nodes, TokenBudget(usable_input_tokens=1250 + 90)).count() == 1
+    out = chunking.outcomes(chunking.decisions(nodes, 50), 50).collect()
+    assert [(r.node_order, r.chunk_index) for r in out] == [(1, None)] and out[0].message.startswith("Node 0001")
