@@ -176,7 +176,7 @@ def bound_text(text: Column | str, limit: Column | int, counter: TokenCounter =
     return F.when(counter(t) <= most, t).otherwise(strip(F.array_join(F.slice(lines(t), F.lit(1), kept), "\n")))
 
 
-def bound_list(items: Column | str, limit: int, counter: TokenCounter = count_tokens, spare: int = 40) -> Column:
+def bound_list(items: Column | str, limit: Column | int, counter: TokenCounter = count_tokens, spare: int = 40) -> Column:
     """The longest run of items from the start whose join by blank lines fits; a bounded part of the next one, if over ``spare`` tokens are left.
 
     Counts add up over blank lines, so the items are counted once each.

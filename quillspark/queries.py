@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.budget import DigestionLimits, TokenBudget, scaled_column
-from .functions.tokens import TURN_END, TURN_START, count_prompt_tokens, count_tokens, format_prompt, placeholders_match, without_end_marks
+from .functions.tokens import TURN_END, TURN_START, count_prompt_tokens, count_tokens, count_tokens_py, format_prompt, format_prompt_py, placeholders_match, without_end_marks
 from .operators import fold, latex, runs, tree
 from .plans import chunking, prompts
 from .sources import latex as files_
@@ -289,9 +289,10 @@ def html_blocks(spark, d):
 _LABEL = "CASE WHEN trim(one) = '' THEN '(untitled)' WHEN length(one) <= 96 THEN one ELSE rtrim(one[1:95]) || '...' END"
 
 
-@query(f"SELECT doc_id, {_LABEL} AS label, printf('[%04d] %s - %s', doc_id, 'FIGURE', {_LABEL}) AS heading, CASE WHEN title <> '' THEN 'FIGURE: ' || title || chr(10) || chr(10) ELSE '' END || 'Caption: ' || lang || chr(10) || chr(10) || 'Images: one.png, two.pdf' || chr(10) || chr(10) || rtrim(source) AS selectable, 'Caption: ' || lang || chr(10) || chr(10) || 'Images: one.png, two.pdf' || chr(10) || chr(10) || source AS model FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text[1:doc_id % 200] END AS title, {_strip(r'''regexp_replace(CASE WHEN doc_id % 3 = 0 OR text[1:doc_id % 200] = '' THEN lang ELSE text[1:doc_id % 200] END, '\s+', ' ', 'g')''')} AS one FROM documents)")
+@query(f"SELECT doc_id, {_LABEL} AS label, printf('[%04d] %s - %s', doc_id, 'FIGURE', {_LABEL}) AS heading, CASE WHEN title <> '' THEN 'FIGURE: ' || title || chr(10) || chr(10) ELSE '' END || 'Caption: ' || lang || chr(10) || chr(10) || 'Images: one.png, two.pdf' || chr(10) || chr(10) || rtrim(source) AS selectable, 'Caption: ' || lang || chr(10) || chr(10) || 'Images: one.png, two.pdf' || chr(10) || chr(10) || source AS model FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END AS title, {_strip(r'''regexp_replace(CASE WHEN doc_id % 3 = 0 OR text = '' THEN lang ELSE text END, '\s+', ' ', 'g')''')} AS one FROM documents)")
 def node_texts(spark, d):
-    title = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", F.lit(1), (F.col("doc_id") % 200).cast("int")))
+    """Titles are whole texts; every third one is empty."""
+    title = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text"))
     docs = _table(spark, d, "documents").withColumn("title", title)
     images = F.array(F.lit("a/one.png"), F.lit("two.pdf"))
     label = T.display_label(F.col("title"), F.col("lang"), F.col("text"))
@@ -351,11 +352,12 @@ def budgets(spark, d):
 
 
 def _made_papers(spark: SparkSession, d: str) -> DataFrame:
-    """LaTeX written from documents: a paper is 10 documents, each a section of a label, references, a figure and prose."""
+    """LaTeX written from documents: a paper is 10 documents, each a section of a label, references, prose, the whole text and a figure."""
     word = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
+    escaped = F.regexp_replace(F.coalesce("text", F.lit("")), r"([%&_#${}])", r"\\$1")
     part = F.concat(
         F.lit("\\section{About "), word, F.lit("}\nSee \\ref{fig:"), F.col("doc_id").cast("string"), F.lit("} and \\cite{a,b}. \\label{sec:"), F.col("doc_id").cast("string"), F.lit("} % gone\n\nWritten in "), "lang",
-        F.lit(" by 5\\% of \\emph{them}.\n\\begin{figure}[h]\n\\includegraphics[width=1cm]{img/"), F.col("doc_id").cast("string"), F.lit("}\n\\caption{A \\textbf{view} of "), "source", F.lit("}\n\\label{fig:"), F.col("doc_id").cast("string"), F.lit("}\n\\end{figure}\n"),
+        F.lit(" by 5\\% of \\emph{them}.\n\nText: "), escaped, F.lit("\n\\begin{figure}[h]\n\\includegraphics[width=1cm]{img/"), F.col("doc_id").cast("string"), F.lit("}\n\\caption{A \\textbf{view} of "), "source", F.lit("}\n\\label{fig:"), F.col("doc_id").cast("string"), F.lit("}\n\\end{figure}\n"),
     )
     rows = _table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("paper_id"), "doc_id", part.alias("part"))
     body = rows.groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("doc_id", "part")))["part"], "").alias("body"))
@@ -363,16 +365,19 @@ def _made_papers(spark: SparkSession, d: str) -> DataFrame:
     return body.select("paper_id", F.lit("main.tex").alias("main_file"), T.strip_comments(F.concat(head, "body", F.lit("\\end{document}\n"))).alias("text"))
 
 
-_MADE = """WITH d AS (SELECT doc_id // 10 AS paper_id, doc_id, lang, source, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS k FROM documents),
+# what conversion does to plain prose: dashes, quotes, ties and white space
+_PROSE = _strip(r"""regexp_replace(regexp_replace(replace(replace(replace(replace(replace('Text: ' || coalesce(text, ''), '---', '—'), '--', '–'), '``', '“'), '''''', '”'), '~', ' '), '[ \t]+', ' ', 'g'), '\s+\n', chr(10), 'g')""")
+_MADE = f"""WITH d AS (SELECT doc_id // 10 AS paper_id, doc_id, lang, source, {_PROSE} AS prose, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS k FROM documents),
 n AS (
   SELECT DISTINCT paper_id, 0 AS node_order, 'paper' AS node_type, 'Paper ' || paper_id AS title, '' AS text, NULL AS parent_order, 'include' AS include_status, '' AS labels, '' AS refs FROM d
   UNION ALL SELECT DISTINCT paper_id, 1, 'metadata', 'metadata', 'title: Paper ' || paper_id, 0, 'include', '', '' FROM d
   UNION ALL SELECT DISTINCT paper_id, 2, 'abstract', 'abstract', 'We look at ' || paper_id || '.', 0, 'include', '', '' FROM d
   UNION ALL SELECT DISTINCT paper_id, 3, 'paragraph', 'paragraph', 'Draft note.', 0, 'exclude', '', '' FROM d
-  UNION ALL SELECT paper_id, 4 * k, 'section', 'About doc ' || doc_id, '', 0, 'include', '', '' FROM d
-  UNION ALL SELECT paper_id, 4 * k + 1, 'paragraph', 'paragraph', 'See [ref: fig:' || doc_id || '] and [cite: a,b].', 4 * k, 'include', 'sec:' || doc_id, 'fig:' || doc_id || '|a,b' FROM d
-  UNION ALL SELECT paper_id, 4 * k + 2, 'paragraph', 'paragraph', 'Written in ' || lang || ' by 5% of them.', 4 * k, 'include', '', '' FROM d
-  UNION ALL SELECT paper_id, 4 * k + 3, 'figure', 'A view of ' || source, 'A view of ' || source, 4 * k, 'include', 'fig:' || doc_id, '' FROM d)
+  UNION ALL SELECT paper_id, 5 * k - 1, 'section', 'About doc ' || doc_id, '', 0, 'include', '', '' FROM d
+  UNION ALL SELECT paper_id, 5 * k, 'paragraph', 'paragraph', 'See [ref: fig:' || doc_id || '] and [cite: a,b].', 5 * k - 1, 'include', 'sec:' || doc_id, 'fig:' || doc_id || '|a,b' FROM d
+  UNION ALL SELECT paper_id, 5 * k + 1, 'paragraph', 'paragraph', 'Written in ' || lang || ' by 5% of them.', 5 * k - 1, 'include', '', '' FROM d
+  UNION ALL SELECT paper_id, 5 * k + 2, 'paragraph', 'paragraph', prose, 5 * k - 1, 'include', '', '' FROM d
+  UNION ALL SELECT paper_id, 5 * k + 3, 'figure', 'A view of ' || source, 'A view of ' || source, 5 * k - 1, 'include', 'fig:' || doc_id, '' FROM d)
 """
 
 
@@ -406,17 +411,17 @@ def main_file_choice(spark, d):
     return files_.main_files(_made_files(spark, d))
 
 
-@query("SELECT doc_id // 5 AS paper_id, 'main.tex' AS main_file, '\\begin{document}' || string_agg(chr(10) || 'part ' || doc_id || ' ' || lang || chr(10) || chr(10) || chr(10), '' ORDER BY doc_id) || chr(10) || '[missing input: none]' || chr(10) AS text FROM documents GROUP BY ALL")
+@query("SELECT doc_id // 5 AS paper_id, 'main.tex' AS main_file, '\\begin{document}' || string_agg(chr(10) || 'part ' || doc_id || ' ' || lang || chr(10) || regexp_replace(text || '%cut', '((?:^|\\n)|[^\\\\])%[^\\n]*', '\\1', 'g') || chr(10) || chr(10) || chr(10), '' ORDER BY doc_id) || chr(10) || '[missing input: none]' || chr(10) AS text FROM documents GROUP BY ALL")
 def include_expansion(spark, d):
-    docs = _table(spark, d, "documents").select(F.floor(F.col("doc_id") / 5).alias("paper_id"), "doc_id", "lang")
+    """Each whole text is a file that is included."""
+    docs = _table(spark, d, "documents").select(F.floor(F.col("doc_id") / 5).alias("paper_id"), "doc_id", "lang", F.col("text").alias("own"))
     ref = F.concat(F.lit("\\input{p"), F.col("doc_id").cast("string"), F.lit("}\\include{p"), F.col("doc_id").cast("string"), F.lit(".tex}"))
     main = docs.groupBy("paper_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("doc_id", ref.alias("r"))))["r"], "").alias("b")).select("paper_id", F.lit("main.tex").alias("path"), F.concat(F.lit("\\begin{document}"), "b", F.lit("\\input{none}")).alias("text"))
-    part = docs.select("paper_id", F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(".tex")), F.concat(F.lit("part "), F.col("doc_id").cast("string"), F.lit(" "), "lang", F.lit(" % cut")))
-    part = part.toDF("paper_id", "path", "text").withColumn("text", F.regexp_replace("text", " % cut", "%cut"))
-    return files_.expanded(main.union(part))
+    part = docs.select("paper_id", F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(".tex")), F.concat(F.lit("part "), F.col("doc_id").cast("string"), F.lit(" "), "lang", F.lit("\n"), "own", F.lit("%cut")))
+    return files_.expanded(main.union(part.toDF("paper_id", "path", "text")))
 
 
-@query("SELECT doc_id // 10 AS paper_id, CAST(4 * row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) + 3 AS INTEGER) AS node_order, 'img/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.png' ELSE '.pdf' END AS image FROM documents QUALIFY doc_id % 3 < 2")
+@query("SELECT doc_id // 10 AS paper_id, CAST(5 * row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) + 3 AS INTEGER) AS node_order, 'img/' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.png' ELSE '.pdf' END AS image FROM documents QUALIFY doc_id % 3 < 2")
 def image_resolution(spark, d):
     nodes = latex.flat_nodes(_made_papers(spark, d))
     docs = _table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("paper_id"), "doc_id")
@@ -463,10 +468,31 @@ def prompt_stats(spark, d):
     return s.select("conv_id", "turn", "s.prompt_text_tokens", "s.chunk_text_tokens", "s.rolling_memory_tokens", "s.image_summary_tokens", "s.image_tokens", prompts.over_budget(F.col("s")).alias("over_budget"))
 
 
-@query()
+def _ladder_sql(safe: int) -> str:
+    """Counts add up over the parts of a prompt: the template, the memory, summaries under headings of four tokens, and deltas; no notes are one token."""
+    n, blank = DigestionLimits(), prompts.FINAL_TEMPLATE
+    for part in ("memory", "deltas", "summaries", "images"):
+        blank = blank.replace(f"<{part}>", "")
+    fixed = count_tokens_py(format_prompt_py(blank)) + 1
+    first, short = (count_tokens_py(m) - 1 for m in (prompts.FIRST_MEMORY, _SHORT_MEMORY))
+    steps = [(first, x, n.final_memory_delta_tokens) for x in (n.final_summary_tokens, *n.final_summary_fallback_tokens)] + [(short, x, n.final_compacted_memory_delta_tokens) for x in n.final_compacted_summary_tokens]
+    rows = ", ".join(str((k, *s)) for k, s in enumerate(steps, 1))
+    return f"""WITH steps(step, memory, n, d) AS (VALUES {rows}),
+r AS (SELECT conv_id, turn, text, step, memory, n, d, {_matches('text')} AS m FROM conversations, steps),
+s AS (SELECT *, sum(m) OVER (PARTITION BY conv_id, step ORDER BY turn) AS run FROM r),
+g AS (SELECT *, CASE WHEN run - m > 0 THEN d - (run - m + 1) ELSE d END AS rest, count(*) FILTER (run + 1 > d) OVER (PARTITION BY conv_id, step ORDER BY turn) AS bad FROM s),
+h AS (SELECT conv_id, step, memory, {_matches(_bound_sql('text', 'n'))} + 4 AS summary, CASE WHEN bad = 0 THEN m WHEN bad = 1 AND rest > 40 THEN {_matches(_bound_sql('text', 'rest'))} END AS delta FROM g),
+t AS (SELECT conv_id, step, CAST({fixed} + any_value(memory) + sum(summary) + coalesce(sum(delta), 1) AS BIGINT) AS tokens FROM h GROUP BY conv_id, step)
+SELECT c.conv_id, CAST(coalesce(min(step), 0) AS INTEGER) AS step, coalesce(min_by(tokens, step), 0) AS tokens FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN t ON t.conv_id = c.conv_id AND t.tokens <= {safe} GROUP BY c.conv_id"""
+
+
+_SHORT_MEMORY = "Running abstract: short"
+
+
+@query(_ladder_sql(900))
 def final_ladder_choice(spark, d):
     rows = _table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("x"))
-    step = prompts.ladder(F.lit(prompts.FIRST_MEMORY), F.lit("Running abstract: short"), F.col("x.text"), F.col("x.text"), F.array().cast("array<string>"), safe=900)
+    step = prompts.ladder(F.lit(prompts.FIRST_MEMORY), F.lit(_SHORT_MEMORY), F.col("x.text"), F.col("x.text"), F.array().cast("array<string>"), safe=900)
     return rows.select("conv_id", step.alias("f")).select("conv_id", "f.step", count_prompt_tokens("f.prompt").alias("tokens"))
 
 
@@ -613,11 +639,14 @@ def final_state_from_log(spark, d):
 
 
 def _signatures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Chunks of an earlier run and of the new plan. The earlier run ends with its first text whose length is a multiple of 5, if any."""
     rows = _table(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), (F.col("turn") + 1).alias("place"), F.col("role").alias("signature"), F.length("text").alias("n"))
-    return rows.where("place <= 4").select("run_id", "place", "signature"), rows.select("run_id", "place", F.when(F.col("n") % 3 == 0, "other").otherwise(F.col("signature")).alias("signature"))
+    end = F.min(F.when(F.col("n") % 5 == 0, F.col("place"))).over(Window.partitionBy("run_id"))
+    done = rows.withColumn("end", end).where("place <= coalesce(end, place)")
+    return done.select("run_id", "place", "signature"), rows.select("run_id", "place", F.when(F.col("n") % 3 == 0, "other").otherwise(F.col("signature")).alias("signature"))
 
 
-_PREFIX = "SELECT run_id, coalesce(min(place) FILTER (bad) - 1, max(place)) AS prefix FROM (SELECT conv_id AS run_id, turn + 1 AS place, turn + 1 > 4 OR length(text) % 3 = 0 AS bad FROM conversations) GROUP BY ALL"
+_PREFIX = "SELECT run_id, coalesce(min(place) FILTER (bad) - 1, max(place)) AS prefix FROM (SELECT conv_id AS run_id, turn + 1 AS place, turn + 1 > coalesce(min(turn + 1) FILTER (length(text) % 5 = 0) OVER (PARTITION BY conv_id), turn + 1) OR length(text) % 3 = 0 AS bad FROM conversations) GROUP BY ALL"
 
 
 @query(f"SELECT *, prefix + 1 AS resume_at FROM ({_PREFIX})")
