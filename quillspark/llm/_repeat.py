@@ -86,6 +86,14 @@ def regions(units: Units, length: int, q: int) -> tuple[np.ndarray, ...]:
     return every[at[a]], start[a], start[b]
 
 
+def anchors_of(units: Units, a: np.ndarray, length: int, q: int) -> np.ndarray:
+    """Where the anchors of the windows that start at ``a`` lie, as ``regions`` has them."""
+    every = units.grams(q)
+    rank = np.append((every & ~_LOW) | np.arange(len(every), dtype=np.uint64), np.uint64(2**64 - 1))
+    ends = np.column_stack([a, a + length - q + 1]).ravel()
+    return (np.minimum.reduceat(rank, ends)[::2] & _LOW).astype(np.int64)
+
+
 def spans(docs: DataFrame, length: int, q: int, words: bool, inner: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """``doc_id, th, spans array<struct<a, b>>``: first and last starts of repeated windows, relative to the text.
 

@@ -5,8 +5,10 @@ meet in one shard whichever documents they come from. A shard concatenates its r
 induced sorting and computes permuted common prefixes; neighbours that agree over the length are repeats.
 
 Regions that are equal as a whole (by 128 bits of their content) are counted before; where others share their
-anchor, one of each goes into a shard. An anchor with more
-than ``HOT`` different regions is split: its strings go singly to the shard their own content names.
+anchor, one of each goes into a shard. An anchor with more than ``HOT`` different regions is split: their
+windows are cut into cells by the anchor's offset, and a cell goes to the shard that its core names, the bytes
+that all its windows share. A region has at most ``CELLS`` + 2 cells, so the bytes sorted stay in proportion to
+the input however many anchors are hot. Within a shard, cells whose core no other region has are left out.
 
 Defined results: null and empty texts have no bytes; texts shorter than the length lose nothing; a repeated
 row counts as another text; an empty table gives an empty result; other columns are ignored. The kept bytes
@@ -25,46 +27,74 @@ from pyspark.sql import functions as F
 
 from . import _repeat
 from ._suffix import permuted_lcp, suffix_array
-from ._text import CODES, Sums, blocks
+from ._text import CODES, SEEDS, Sums, blocks, expand, mix
 from .substring_dedup import _keyed
 
 #: Bytes of a repeated string, and of the grams that may anchor it.
 LENGTH, GRAM = 200, 48
 #: Different regions of one anchor that may lie in one shard; more are split by content.
 HOT = 500
+#: A region's windows lie in about so many cells.
+CELLS = 8
 #: Bytes of a shard, as planned.
 SHARD = 2 << 20
 
 
-def _cut(length: int, shards: int, most: int):
-    """Regions, as bytes, with the shard they go to."""
+def width(length: int, gram: int) -> int:
+    """How many neighbouring offsets to the anchor make a cell."""
+    return max(1, (length - gram) // CELLS)
+
+
+def cells(a: np.ndarray, b: np.ndarray, p: np.ndarray, wide: int) -> tuple[np.ndarray, ...]:
+    """Starts a..b by cells of ``wide`` offsets to the anchor at p: first and last starts, cell, pair.
+
+    Equal windows have their anchor at the same offset, so they lie in the same cell.
+    """
+    least, most = (p - b) // wide, (p - a) // wide
+    n = most - least + 1
+    _, place, _ = expand(least, n)
+    pair = np.repeat(np.arange(len(a)), n)
+    cell = most[pair] - place
+    core = p[pair] - cell * wide
+    return np.maximum(a[pair], core - wide + 1), np.minimum(b[pair], core), cell, pair
+
+
+def cores(sums: Sums, p: np.ndarray, cell: np.ndarray, wide: int, length: int) -> np.ndarray:
+    """A hash of what all windows of a cell share, and of the cell; p: anchors."""
+    core = p - cell * wide
+    return mix(sums.of(core, core + length - wide + 1) + cell.astype(np.uint64) * np.uint64(SEEDS[0]))
+
+
+def _cut(length: int, gram: int, shards: int, most: int):
+    """Regions, as bytes, with the shard they go to and their anchor's place in them."""
+    wide = width(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offs, need = _repeat.lists(batch.column(batch.schema.get_field_index("need")))
             for block, at, to in blocks(batch):
                 own = need.slice(offs[at], offs[to] - offs[at])
+                if not len(own):
+                    continue
                 text = np.repeat(np.arange(at, to), np.diff(offs[at : to + 1]))
-                a, b = _repeat.field(own, "a").astype(np.int64), _repeat.field(own, "b").astype(np.int64)
+                base = block.offs[text - at]
+                a, b = base + _repeat.field(own, "a"), base + _repeat.field(own, "b")
                 n, hot = _repeat.field(own, "n"), _repeat.field(own, "m") > most
+                p = _repeat.anchors_of(_repeat.Units(block, False), a, length, gram)
                 shard = _repeat.field(own, "anchor").view(np.uint64) % np.uint64(shards)
                 if hot.any():
-                    s, pair = _repeat.starts_of(a[hot], b[hot])
-                    base = block.offs[text[hot][pair] - at] + s
-                    single = Sums(CODES[1][block.buf], 1).of(base, base + length) % np.uint64(shards)
-                    text = np.concatenate([text[~hot], text[hot][pair]])
-                    n = np.concatenate([n[~hot], n[hot][pair]])
-                    shard = np.concatenate([shard[~hot], single])
-                    a, b = np.concatenate([a[~hot], s]), np.concatenate([b[~hot], s])
-                base = block.offs[text - at]
+                    lo, hi, cell, pair = cells(a[hot], b[hot], p[hot], wide)
+                    own_p = p[hot][pair]
+                    by_core = cores(Sums(CODES[1][block.buf], 1), own_p, cell, wide, length) % np.uint64(shards)
+                    a, b, p, n, shard, text, base = (np.concatenate([x[~hot], y]) for x, y in ((a, lo), (b, hi), (p, own_p), (n, n[hot][pair]), (shard, by_core), (text, text[hot][pair]), (base, base[hot][pair])))
                 buf = block.buf.tobytes()
-                data = [buf[x:y] for x, y in zip((base + a).tolist(), (base + b + length).tolist(), strict=True)]
+                data = [buf[x:y] for x, y in zip(a.tolist(), (b + length).tolist(), strict=True)]
                 for i in range(0, len(data), 5000):
                     j = slice(i, i + 5000)
                     row = pa.array(text[j])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(batch.schema.get_field_index("doc_id")).take(row), batch.column(batch.schema.get_field_index("th")).take(row), pa.array(shard[j].astype(np.int32)), pa.array(n[j]), pa.array(a[j].astype(np.int32)), pa.array(data[j], pa.binary())],
-                        ["doc_id", "th", "shard", "n", "a", "data"],
+                        [batch.column(batch.schema.get_field_index("doc_id")).take(row), batch.column(batch.schema.get_field_index("th")).take(row), pa.array(shard[j].astype(np.int32)), pa.array(n[j]), pa.array((a - base)[j].astype(np.int32)), pa.array((p - a)[j].astype(np.int32)), pa.array(data[j], pa.binary())],
+                        ["doc_id", "th", "shard", "n", "a", "p", "data"],
                     )
 
     return run
@@ -101,14 +131,63 @@ def repeats_in(parts: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarr
     return part[hit], (order - first[part])[hit]
 
 
-def _shards(length: int):
+def _shared(t: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, n: np.ndarray, wide: int, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of starts, by part, whose core another part has too and one of these parts has n = 1; their hashes."""
+    lo, hi, cell, part = cells(a, b, p, wide)
+    key = np.zeros(len(lo), np.uint64)
+    cuts = np.unique(np.searchsorted(lo, np.arange(0, len(t) + SHARD, SHARD)))
+    for i, j in zip(cuts, cuts[1:], strict=False):  # sums of some bytes at a time
+        x, y = lo[i], hi[j - 1] + length
+        key[i:j] = cores(Sums(CODES[1][t[x:y]], 1), p[part[i:j]] - x, cell[i:j], wide, length)
+    _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+    single = np.bincount(which, weights=n[part] == 1) > 0
+    keep = ((count > 1) & single)[which]
+    return lo[keep], hi[keep], part[keep], key[keep]
+
+
+def repeats_among(parts: list[bytes], n: np.ndarray, p: np.ndarray, length: int, gram: int, most: int = 4 * SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """As ``repeats_in``, for parts with their anchors at p; those without a partner are not sorted.
+
+    Windows that are equal share the core of their cell; the others are left out. What is still above ``most``
+    bytes (tens of thousands of parts with one core) is compared a string at a time, by its bytes.
+    """
+    sizes = np.array([len(x) for x in parts], np.int64)
+    first = np.cumsum(sizes) - sizes
+    data = b"".join(parts)
+    t = np.frombuffer(data, np.uint8)
+    a, b, p = first, first + sizes - length, first + p
+    lo, hi, part, _ = _shared(t, a, b, p, n, width(length, gram), length)
+    if not len(lo):
+        return part, lo
+    new = np.ones(len(lo), bool)
+    new[1:] = (part[1:] != part[:-1]) | (lo[1:] != hi[:-1] + 1)
+    at = np.flatnonzero(new)
+    lo, hi, part = lo[at], hi[np.append(at[1:], len(hi)) - 1], part[at]
+    if int((hi - lo).sum()) + len(lo) * length <= most:
+        run, s = repeats_in([data[x:y] for x, y in zip(lo.tolist(), (hi + length).tolist(), strict=True)], n[part], length)
+        return part[run], (lo - first[part])[run] + s
+    s, _, run, key = _shared(t, lo, hi, p[part], n[part], 1, length)
+    part = part[run]
+    order = np.argsort(key, kind="stable")
+    hit = np.zeros(len(s), bool)
+    for same in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        by: dict[bytes, list[int]] = {}
+        for i, x in zip(same.tolist(), s[same].tolist(), strict=True):
+            by.setdefault(data[x : x + length], []).append(i)
+        for members in by.values():
+            hit[members] = len(members) > 1
+    hit &= n[part] == 1
+    return part[hit], (s - first[part])[hit]
+
+
+def _shards(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by shard; one shard is held at a time."""
         now, rows = None, []
 
         def out():
             t = pa.Table.from_batches(rows)
-            part, s = repeats_in(t["data"].to_pylist(), t["n"].to_numpy(), length)
+            part, s = repeats_among(t["data"].to_pylist(), t["n"].to_numpy(), t["p"].to_numpy(), length, gram)
             a = t["a"].to_numpy()[part] + s
             row = pa.array(part)
             for b in pa.table({"doc_id": t["doc_id"].take(row), "th": t["th"].take(row), "a": pa.array(a.astype(np.int32)), "b": pa.array(a.astype(np.int32))}).to_batches():
@@ -134,11 +213,12 @@ def _shards(length: int):
 def repeated_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     def inner(texts: DataFrame, need: DataFrame) -> DataFrame:
         conf = texts.sparkSession.conf
-        size = need.select(F.expr("aggregate(need, 0L, (s, x) -> s + (x.b - x.a + 1 + %d) * if(x.m > %d, %d, 1))" % (length, hot, length // 4)).alias("s")).agg(F.sum("s")).head()[0] or 0
+        cut_in = "if(x.m > %d, 1 + (x.b - x.a) div %d, 1)" % (hot, width(length, gram))
+        size = need.select(F.expr("aggregate(need, 0L, (s, x) -> s + x.b - x.a + 1 + %d * %s)" % (length, cut_in)).alias("s")).agg(F.sum("s")).head()[0] or 0
         shards = max(1, -(-size // SHARD))
-        cut = texts.mapInArrow(_cut(length, shards, hot), "doc_id long, th long, shard int, n long, a int, data binary")
+        cut = texts.mapInArrow(_cut(length, gram, shards, hot), "doc_id long, th long, shard int, n long, a int, p int, data binary")
         dealt = cut.repartition(max(int(conf.get("spark.sql.shuffle.partitions")), shards), "shard").sortWithinPartitions("shard")
-        return dealt.mapInArrow(_shards(length), "doc_id long, th long, a int, b int")
+        return dealt.mapInArrow(_shards(length, gram), "doc_id long, th long, a int, b int")
 
     return _repeat.spans(keyed, length, gram, False, inner)
 
