@@ -10,7 +10,7 @@ about 2n/(L-q+2) of them. Regions are what is shuffled: a row for each, instead
    window's count and no repeated window is lost.
 2. Regions with equal anchor and content (128 bits) are counted (partial aggregation bounds hot ones). A
    region that occurs twice repeats all its windows. Regions with over a thousandth of all rows are under a
-   thousand; these are broadcast, so no task has one alone.
+   thousand; these are broadcast and their rows spread by place, so no task has one alone.
 3. Only where an anchor has several different regions, of which some occur once, are windows compared
    one by one, among one representative of each: ``inner`` says which.
 
@@ -136,10 +136,12 @@ def spans(docs: DataFrame, length: int, q: int, words: bool, inner: Callable[[Da
     classes = found.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "th", "a", "b")).alias("r"))
     classes = materialize(classes)
     most = (classes.agg(F.sum("n")).head()[0] or 0) // SHARE + 1
-    hot = F.broadcast(classes.where(F.col("n") > most).select(*key))  # under SHARE rows
-    cold = classes.where((F.col("n") > 1) & (F.col("n") <= most)).select(*key)
+    hot = F.broadcast(classes.where(F.col("n") > most).select(*key, F.lit(True).alias("hot")))  # under SHARE rows
+    cold = classes.where((F.col("n") > 1) & (F.col("n") <= most)).select(*key, F.lit(True).alias("cold"))
     place = ["doc_id", "th", "a", "b"]
-    whole = found.join(hot, key, "left_semi").select(*place).unionByName(found.join(hot, key, "left_anti").join(cold, key).select(*place))
+    # both joins give a row for each region found; hot ones, known already, are spread by their place
+    marked = found.join(hot, key, "left").withColumn("region", F.when(F.col("hot"), F.xxhash64(*place)).otherwise(F.col("region")))
+    whole = marked.join(cold, key, "left").where("hot or cold").select(*place)
     per_anchor = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
     need = classes.join(per_anchor, "anchor").select("r.doc_id", "r.th", F.struct("anchor", "n", "m", "r.a", "r.b").alias("x"))
     need = materialize(need.groupBy("doc_id", "th").agg(F.collect_list("x").alias("need")))
